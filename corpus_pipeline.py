@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import langid
+from quillgraph.llm import langid, neardup
 from quillgraph.session import shared_dir, table
 
 
@@ -15,7 +15,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accept(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
-STAGES = [("language ID", language)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least id (signature-coordinate join)."""
+    return neardup.drop_near(docs)
+
+
+STAGES = [("language ID", language), ("near copies", near_copies)]
 
 #: The stages hold trained models and text kernels that SQL can't express.
 ORACLE_SQL: str | None = None

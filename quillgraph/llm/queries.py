@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import langid
+from . import langid, neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,3 +29,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents whose language is recognised, with language and score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.accept(docs, carry=["doc_id", "lang"])
+
+
+@query("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies, as sorted lists of ids."""
+    return neardup.near_groups(table(spark, sf_dir, "documents"))
