@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import langid, neardup
+from quillgraph.llm import decontam, langid, neardup
 from quillgraph.session import shared_dir, table
 
 
@@ -20,7 +20,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.drop_near(docs)
 
 
-STAGES = [("language ID", language), ("near copies", near_copies)]
+def quoted_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that quote no benchmark item (BM25 and block-max WAND)."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+STAGES = [("language ID", language), ("near copies", near_copies), ("decontamination", quoted_benchmark)]
 
 #: The stages hold trained models and text kernels that SQL can't express.
 ORACLE_SQL: str | None = None
