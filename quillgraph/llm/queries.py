@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontam, langid, neardup
+from . import decontam, hashtree, langid, neardup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op9_weighted_hash_tree", hashtree.sql("documents", "doc_id"))
+def op9_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region, rack and shard of every document."""
+    return hashtree.place(table(spark, sf_dir, "documents").select("doc_id"))
+
+
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents whose language is recognised, with language and score."""
@@ -37,6 +43,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins of all documents, with the pieces in each."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies, as sorted lists of ids."""
