@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontam, hashtree, langid, neardup, packing
+from . import decontam, fingerprints, hashtree, langid, neardup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op8_document_fingerprints")
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose shingle sets have a verified Jaccard, as sorted lists of ids."""
+    return fingerprints.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op9_weighted_hash_tree", hashtree.sql("documents", "doc_id"))
 def op9_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region, rack and shard of every document."""
