@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, langid, neardup
+from quillgraph.llm import decontam, langid, neardup, packing, secretscan
 from quillgraph.session import shared_dir, table
 
 
@@ -25,7 +25,23 @@ def quoted_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("language ID", language), ("near copies", near_copies), ("decontamination", quoted_benchmark)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark (random forest)."""
+    return secretscan.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of the remaining documents' pieces (hierarchical best fit)."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("near copies", near_copies),
+    ("decontamination", quoted_benchmark),
+    ("secrets", secrets),
+    ("packing", packed),
+]
 
 #: The stages hold trained models and text kernels that SQL can't express.
 ORACLE_SQL: str | None = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontam, fingerprints, hashtree, langid, neardup, packing
+from . import decontam, fingerprints, hashtree, langid, neardup, packing, secretscan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +55,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret of every document, with its span and score."""
+    return secretscan.findings(table(spark, sf_dir, "documents"))
+
+
 @query("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies, as sorted lists of ids."""
