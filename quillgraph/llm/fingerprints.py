@@ -10,8 +10,10 @@ Jaccard reaches the threshold are kept. Within such a set a document that is
 linked isn't compared again with those of its group, so n copies cost n - 1
 comparisons; groups are the connected components of the verified pairs.
 
-Shingle sets are made again for candidates only. Their ids are broadcast if
-there are few; else the texts are joined with them.
+Documents of the same tokens in the same order are one node from the start.
+Shingle sets, as 32-bit hashes, are made again for candidates only, and moved
+once. The candidates' ids are broadcast if there are few; else the texts are
+joined with them.
 
 Defined results: as for near duplicates by coordinates; null ids, null and
 empty texts and texts without a token have no fingerprint and no partner.
@@ -34,7 +36,7 @@ BANDS, ROWS, SHINGLE, JACCARD, SLACK, SEED = 24, 5, 3, 0.7, 0.15, 4099
 
 
 def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``bands`` (a hash of each band) and ``sig`` (the low byte of each coordinate)."""
+    """``doc_id``, ``digest`` of the token sequence, ``bands`` (a hash of each band) and ``sig`` (the low byte of each coordinate)."""
     k = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,43 +50,52 @@ def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle:
                 for r in range(rows):
                     key = kernel.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows].astype(np.uint64))
                 key = kernel.mix(key + np.arange(bands, dtype=np.uint64))
+                full = np.flatnonzero(np.diff(w.first) > 0)
+                place = np.arange(len(w.hash), dtype=np.uint64) - w.first[w.doc].astype(np.uint64)
+                digest = np.add.reduceat(kernel.mix(w.hash + place * np.uint64(0x9E3779B97F4A7C15)), w.first[full]) if len(full) else kernel.mix(w.hash)
                 low = sig.astype(np.uint8).view(np.int8)
                 n = len(sig)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[w.lo : w.hi][has], pa.int64()),
+                        pa.array(digest.view(np.int64)),
                         kernel.lists(key.view(np.int64).reshape(-1), np.full(n, bands), pa.int64()),
                         kernel.lists(low.reshape(-1), np.full(n, k), pa.int8()),
                     ],
-                    names=["doc_id", "bands", "sig"],
+                    names=["doc_id", "digest", "bands", "sig"],
                 )
 
     source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
-    return source.mapInArrow(sign, "doc_id bigint, bands array<bigint>, sig array<tinyint>")
+    return source.mapInArrow(sign, "doc_id bigint, digest bigint, bands array<bigint>, sig array<tinyint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id`` and the sorted distinct ``shingles`` of the wanted documents."""
-    few = idset.small_ids(wanted.select("doc_id"))
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, limit: int) -> DataFrame:
+    """``component, doc_id`` and the sorted distinct ``shingles`` of the wanted documents."""
     source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    if few is None:
-        source = source.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    few = label = None
+    if wanted.limit(limit + 1).count() <= limit:
+        pdf = wanted.toPandas().sort_values("doc_id")
+        few, label = pdf["doc_id"].to_numpy(np.int64), pdf["component"].to_numpy(np.int64)
+        source = source.withColumn("component", F.lit(None).cast("bigint"))
+    else:
+        source = source.join(wanted, "doc_id").select("doc_id", "text", "component")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if few is not None:
                 batch = batch.filter(pa.array(idset.member(few, batch.column(0).to_numpy())))
             ids = batch.column(0).to_numpy()
+            of = batch.column(2) if few is None else pa.array(label[np.searchsorted(few, ids)], pa.int64())
             for w in kernel.words(batch.column(1).to_pylist()):
                 sh, first = kernel.shingles(w, shingle)
-                sets = [np.unique(sh[a:b]) for a, b in zip(first, first[1:])]
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                sets = [np.unique((sh[a:b] >> np.uint64(32)).astype(np.uint32)) for a, b in zip(first, first[1:])]
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[w.lo : w.hi]), kernel.lists(flat.view(np.int64), np.array([len(s) for s in sets]), pa.int64())],
-                    names=["doc_id", "shingles"],
+                    [of.slice(w.lo, w.hi - w.lo), pa.array(ids[w.lo : w.hi]), kernel.lists(flat.view(np.int32), np.array([len(s) for s in sets]), pa.int32())],
+                    names=["component", "doc_id", "shingles"],
                 )
 
-    return source.mapInArrow(make, "doc_id bigint, shingles array<bigint>")
+    return source.mapInArrow(make, "component bigint, doc_id bigint, shingles array<int>")
 
 
 def verified(ids: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[list[int], int, float]]:
@@ -116,29 +127,26 @@ def verified(ids: np.ndarray, sets: list[np.ndarray], least: float) -> list[tupl
 
 
 def groups(
-    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, jaccard: float = JACCARD
+    docs: DataFrame,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    shingle: int = SHINGLE,
+    jaccard: float = JACCARD,
+    broadcast_ids: int = idset.BROADCAST_IDS,
 ) -> DataFrame:
-    """``group_id`` (least id), sorted ``doc_ids``, ``n_docs``, verified ``n_links`` and their ``least_jaccard``."""
-    same = Window.partitionBy("bands").orderBy("doc_id")
+    """``group_id`` (least id), sorted ``doc_ids``, ``n_docs``, verified ``n_links`` between different token
+    sequences and their ``least_jaccard`` (1 if there is none)."""
+    same = Window.partitionBy("digest").orderBy("doc_id")
     nodes = cut(
         fingerprints(docs, bands, rows, shingle).withColumns({"rep": F.first("doc_id").over(same), "first": F.row_number().over(same) == 1})
     )
     one = nodes.where("first")
-    posted = one.select("doc_id", F.xxhash64("bands").alias("h"), F.explode("bands").alias("key"))
+    posted = one.select("doc_id", "digest", F.explode("bands").alias("key"))
     shared = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    postings = shared.join(one.select("doc_id", F.xxhash64("bands").alias("h"), "sig"), ["doc_id", "h"])
+    postings = shared.join(one.select("doc_id", "digest", "sig"), ["doc_id", "digest"])
     k = bands * rows
     edges = neardup.link_lists(postings, k, int((jaccard - SLACK) * k))
-    label = connected_components(edges).withColumnRenamed("node", "rep")
-    several = nodes.where("NOT first").select("rep").distinct().withColumn("several", F.lit(True))
-    wanted = cut(
-        nodes.select("doc_id", "rep")
-        .join(label, "rep", "left")
-        .join(several, "rep", "left")
-        .where("component IS NOT NULL OR several")
-        .select("doc_id", F.coalesce("component", "rep").alias("component"))
-        .distinct()
-    )
+    wanted = cut(connected_components(edges).select(F.col("node").alias("doc_id"), "component"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
@@ -158,16 +166,27 @@ def groups(
                     out += close()
                     now, ids, sets = component, [], []
                 ids.append(d)
-                sets.append(flat[at[i] : at[i + 1]].view(np.uint64))
+                sets.append(flat[at[i] : at[i + 1]].view(np.uint32))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=names)
         out = close()
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=names)
 
-    return (
-        _sets(docs, wanted, shingle)
-        .join(wanted, "doc_id")
-        .select("component", "doc_id", "shingles")
+    found = (
+        _sets(docs, wanted, shingle, broadcast_ids)
         .repartition("component")
         .sortWithinPartitions("component", "doc_id")
         .mapInArrow(verify, "group_id bigint, doc_ids array<bigint>, n_docs bigint, n_links bigint, least_jaccard double")
+        .select("group_id", "n_links", "least_jaccard", F.explode("doc_ids").alias("rep"))
+    )
+    return (
+        nodes.select("doc_id", "rep")
+        .join(found, "rep", "left")
+        .groupBy(F.coalesce("group_id", "rep").alias("group_id"))
+        .agg(
+            F.array_sort(F.collect_set("doc_id")).alias("doc_ids"),
+            F.coalesce(F.max("n_links"), F.lit(0)).alias("n_links"),
+            F.coalesce(F.min("least_jaccard"), F.lit(1.0)).alias("least_jaccard"),
+        )
+        .where("size(doc_ids) > 1")
+        .select("group_id", "doc_ids", F.size("doc_ids").cast("bigint").alias("n_docs"), "n_links", "least_jaccard")
     )

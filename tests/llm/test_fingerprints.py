@@ -29,6 +29,8 @@ def test_recall_and_precision_against_all_pairs(spark):
     rows = data()
     want = closure(exact(rows, fingerprints.JACCARD))
     got = {tuple(r.doc_ids) for r in fingerprints.groups(corpus.frame(spark, rows)).collect()}
+    joined = fingerprints.groups(corpus.frame(spark, rows), broadcast_ids=3)
+    assert {tuple(r.doc_ids) for r in joined.collect()} == got
     pairs = lambda gs: {(a, b) for g in gs for a in g for b in g if a < b}
     assert len(pairs(got) & pairs(want)) >= 0.95 * len(pairs(want))
     assert pairs(got) <= pairs(want)
