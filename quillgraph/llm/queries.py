@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
-from . import decontam, fingerprints, hashtree, langid, neardup, packing, secretscan
+from ..session import shared_dir, table
+from . import decontam, fingerprints, hashtree, langid, neardup, packing, pii, quality, secretscan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +66,21 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies, as sorted lists of ids."""
     return neardup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of personal data of every document, with its span and kind."""
+    return pii.entities(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_kneser_ney")
+def op3_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose perplexity is within their language's threshold."""
+    return quality.keep(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_warc_writer")
+def op4_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every page is in the WARC files written from them."""
+    return warc.write(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}")
