@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import chunk, text as T
+from ..operators import dedup, graph, ppr, retrieval
+from ..session import table
+from ..sources import json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,3 +26,295 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+
+
+def _graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as passages, parts as concepts."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("passage_id"), F.col("l_partkey").alias("concept_id")).distinct()
+
+
+_EDGES = "SELECT DISTINCT l_orderkey AS passage_id, l_partkey AS concept_id FROM lineitem"
+#: Non-ASCII characters become word characters, so that word boundaries mean the same in both engines.
+def _masked():
+    return F.regexp_replace("text", "[^\\x00-\\x7F]", "_")
+
+
+_MASK = "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')"
+
+
+def _counted(docs: DataFrame, found, name: str) -> DataFrame:
+    return docs.select(F.explode(found).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+
+
+@query("normalize_concepts", "SELECT lower(trim(p_name)) AS concept_id, count(*) AS n FROM part GROUP BY 1")
+def normalize_concepts(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(T.normalize(F.col("p_name")).alias("concept_id")).agg(F.count("*").alias("n"))
+
+
+_STOP_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP) + "]"
+
+
+@query(
+    "extract_capitalized",
+    f"""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all({_MASK}, '{T.CAPITALISED}'))) AS phrase FROM documents)
+    SELECT phrase, count(*) AS n FROM m
+    WHERE len(list_filter(regexp_split_to_array(lower(phrase), '\\s+'), lambda w: NOT list_contains({_STOP_LIST}, w))) > 0 GROUP BY 1""",
+)
+def extract_capitalized(spark, sf_dir):
+    return _counted(table(spark, sf_dir, "documents"), T.capitalised(_masked()), "phrase")
+
+
+@query(
+    "extract_patterns",
+    " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, entity, count(*) AS n FROM (SELECT unnest(list_distinct("
+        + "list_concat(" + ", ".join(f"regexp_extract_all({_MASK}, '(?i){p}')" for p in ps) + "))) AS entity FROM documents) WHERE length(entity) > 1 GROUP BY ALL"
+        for kind, ps in T.PATTERNS.items()
+    ),
+)
+def extract_patterns(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(_masked().alias("text"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), T.pattern_entities(F.col("text"), k).alias("found")) for k in T.PATTERNS])
+    return docs.select(F.inline(kinds)).select("kind", F.explode("found").alias("entity")).groupBy("kind", "entity").agg(F.count("*").alias("n"))
+
+
+@query(
+    "concept_frequency_band",
+    f"""WITH m AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all({_MASK}, '{T.LONG_WORD}'), lambda w: lower(w)))) AS concept FROM documents)
+    SELECT concept, count(*) AS n FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM documents)""",
+)
+def concept_frequency_band(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    most = docs.agg(F.floor(F.count("*") * 0.5).alias("most"))
+    words = F.array_distinct(F.transform(T.matches(_masked(), T.LONG_WORD), F.lower))
+    return _counted(docs, words, "concept").crossJoin(most).where("n BETWEEN 2 AND most").select("concept", "n")
+
+
+@query("query_keywords", f"""WITH m AS (SELECT item_id, unnest(list_distinct(regexp_extract_all({_MASK}, '\\b[a-zA-Z]+\\b'))) AS keyword FROM benchmark)
+    SELECT item_id, keyword FROM m WHERE length(keyword) > 2 AND lower(keyword) NOT IN ({", ".join(f"'{w}'" for w in T.QUERY_STOP)})""")
+def query_keywords(spark, sf_dir):
+    found = F.array_distinct(F.filter(T.matches(_masked(), r"\b[a-zA-Z]+\b"), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(T.QUERY_STOP)))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(found).alias("keyword"))
+
+
+@query("graph_concepts", f"SELECT concept_id, count(*) AS frequency FROM ({_EDGES}) GROUP BY 1")
+def graph_concepts(spark, sf_dir):
+    return _graph_edges(spark, sf_dir).groupBy("concept_id").agg(F.count("*").alias("frequency"))
+
+
+@query(
+    "graph_statistics",
+    f"""WITH e AS ({_EDGES}), f AS (SELECT concept_id, count(*) AS f FROM e GROUP BY 1),
+    s AS (SELECT count(*) AS edges, count(DISTINCT passage_id) AS passages, count(DISTINCT concept_id) AS concepts FROM e)
+    SELECT edges, passages, concepts, round(edges / passages, 6) AS avg_passage_degree, round(edges / concepts, 6) AS avg_concept_degree,
+    (SELECT min(f) FROM f) AS min_frequency, (SELECT max(f) FROM f) AS max_frequency, (SELECT round(avg(f), 6) FROM f) AS mean_frequency,
+    (SELECT median(f) FROM f) AS median_frequency, (SELECT round(stddev_pop(f), 6) FROM f) AS std_frequency FROM s""",
+)
+def graph_statistics(spark, sf_dir):
+    s = graph.statistics(_graph_edges(spark, sf_dir))
+    return s.withColumns({c: F.round(c, 6) for c in ("avg_passage_degree", "avg_concept_degree", "mean_frequency", "std_frequency")})
+
+
+@query(
+    "top_degree",
+    f"""WITH e AS ({_EDGES}) SELECT * FROM (SELECT 'passage' AS side, CAST(passage_id AS VARCHAR) AS node, count(*) AS degree FROM e GROUP BY 2
+    UNION ALL SELECT 'concept', CAST(concept_id AS VARCHAR), count(*) FROM e GROUP BY 2) ORDER BY degree DESC, side, node LIMIT 30""",
+)
+def top_degree(spark, sf_dir):
+    return graph.top_degree(_graph_edges(spark, sf_dir))
+
+
+@query("search_concepts", "SELECT p_partkey AS concept_id, p_name AS concept_text FROM part WHERE contains(lower(p_name), 'ring')")
+def search_concepts(spark, sf_dir):
+    return graph.search(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("concept_text")), "Ring")
+
+
+_OVERLAP = """CASE WHEN contains(q, e) OR contains(e, q) THEN 1.0 ELSE (
+    WITH w AS (SELECT list_distinct(string_split(e, ' ')) AS m) SELECT CASE WHEN len(list_intersect(string_split(q, ' '), m)) / len(m) >= 0.5
+    THEN round(len(list_intersect(string_split(q, ' '), m)) / len(m), 6) ELSE 0 END FROM w) END"""
+
+
+@query("text_overlap", f"SELECT q, e, CAST({_OVERLAP} AS DOUBLE) AS overlap FROM (SELECT DISTINCT p_name AS q FROM part), (SELECT DISTINCT p_name AS e FROM part)")
+def text_overlap(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    pairs = names.select(F.col("p_name").alias("q")).crossJoin(names.select(F.col("p_name").alias("e")))
+    return pairs.select("q", "e", F.round(T.text_overlap(F.col("q"), F.col("e")), 6).alias("overlap"))
+
+
+_TYPE = """CASE WHEN regexp_matches(lower(x), 'inc|corp|ltd|llc|company|group') THEN 'ORG'
+    WHEN regexp_matches(regexp_replace(x, '[ ,%]', '', 'g'), '^[0-9]+$') THEN CASE WHEN length(x) = 4 THEN 'DATE' ELSE 'MONEY' END
+    WHEN contains(x, '%') THEN 'PERCENT' WHEN regexp_matches(lower(x), '\\$|million|billion') THEN 'MONEY'
+    WHEN regexp_matches(lower(x), 'january|february|march|april|may|june|july|august|september|october|november|december|q[1-4]') THEN 'DATE'
+    WHEN regexp_matches(x, '^[A-Z]') AND len(string_split(x, ' ')) <= 3 THEN 'PERSON' ELSE 'UNKNOWN' END"""
+
+
+@query(
+    "entity_type_heuristic",
+    f"SELECT x AS entity, {_TYPE} AS kind FROM (SELECT DISTINCT p_name AS x FROM part UNION SELECT p_brand FROM part UNION SELECT p_type FROM part UNION SELECT n_name FROM nation UNION SELECT CAST(p_partkey AS VARCHAR) FROM part)",
+)
+def entity_type_heuristic(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.explode(F.array("p_name", "p_brand", "p_type", F.col("p_partkey").cast("string"))).alias("entity"))
+    names = names.union(table(spark, sf_dir, "nation").select("n_name")).distinct()
+    return names.select("entity", T.entity_type(F.col("entity")).alias("kind"))
+
+
+@query("semantic_topk", """WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS passage_id,
+    list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, passage_id) AS rank, max(s) OVER (PARTITION BY query_id) AS best FROM s WHERE s >= 0.3)
+    SELECT query_id, passage_id, round(s / best, 6) AS score, rank FROM r WHERE rank <= 5""")
+def semantic_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = retrieval.semantic(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "passage_id"), 5)
+    return out.select("query_id", "passage_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("embedding_pairs", """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35""")
+def embedding_pairs(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return dedup.embedding_pairs(v, 0.35).withColumn("similarity", F.round("similarity", 6))
+
+
+_PAIRS = """SELECT a, b, CASE WHEN contains(a, b) OR contains(b, a) THEN 0.9 ELSE len(list_intersect(string_split(a, ''), string_split(b, ''))) / greatest(length(a), length(b)) END AS s
+    FROM (SELECT DISTINCT p_name AS a FROM part) JOIN (SELECT DISTINCT p_name AS b FROM part) ON a < b"""
+
+
+@query("string_similarity_pairs", f"SELECT a, b, CAST(round(s, 6) AS DOUBLE) AS similarity FROM ({_PAIRS}) WHERE s >= 0.7")
+def string_similarity_pairs(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("entity"))
+    return dedup.string_pairs(names, 0.7).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "canonical_mapping",
+    f"""WITH RECURSIVE p AS (SELECT a, b FROM ({_PAIRS}) WHERE s >= 0.8), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    r AS (SELECT DISTINCT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+    c AS (SELECT x, min(y) AS component FROM r GROUP BY 1), k AS (SELECT component, arg_min(x, struct_pack(n := -length(x), x := x)) AS canonical FROM c GROUP BY 1)
+    SELECT x AS duplicate, canonical FROM c JOIN k USING (component) WHERE x <> canonical""",
+)
+def canonical_mapping(spark, sf_dir):
+    return dedup.canonical(dedup.string_pairs(table(spark, sf_dir, "part").select(F.col("p_name").alias("entity")), 0.8))
+
+
+@query(
+    "jaccard_pairs",
+    f"""WITH e AS ({_EDGES}), n AS (SELECT concept_id, count(*) AS n FROM e GROUP BY 1),
+    s AS (SELECT x.concept_id AS a, y.concept_id AS b, count(*) AS k FROM e x JOIN e y ON x.passage_id = y.passage_id AND x.concept_id < y.concept_id GROUP BY ALL)
+    SELECT a, b, round(k / (p.n + q.n - k), 6) AS jaccard FROM s JOIN n p ON p.concept_id = a JOIN n q ON q.concept_id = b WHERE k / (p.n + q.n - k) >= 0.05""",
+)
+def jaccard_pairs(spark, sf_dir):
+    return dedup.jaccard_pairs(_graph_edges(spark, sf_dir), 0.05).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("merge_graphs", """SELECT passage_id, concept_id, max(weight) AS weight FROM (SELECT l_orderkey AS passage_id, l_partkey AS concept_id, l_discount AS weight FROM lineitem
+    UNION ALL SELECT l_orderkey, l_partkey, l_tax FROM lineitem) GROUP BY ALL""")
+def merge_graphs(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "passage_id", "l_partkey": "concept_id"})
+    return graph.merge(*[li.select("passage_id", "concept_id", F.col(c).alias("weight")) for c in ("l_discount", "l_tax")])
+
+
+#: Four queries, each of the parts of one size.
+_RESTART = "SELECT p_size AS query_id, p_partkey AS concept_id, 1.0 / count(*) OVER (PARTITION BY p_size) AS m FROM part WHERE p_size <= 4 AND p_partkey IN (SELECT l_partkey FROM lineitem)"
+
+
+def _restart(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").where("p_size <= 4").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("concept_id"), F.lit(1.0).alias("weight"))
+    return parts.join(_graph_edges(spark, sf_dir).select("concept_id").distinct(), "concept_id", "left_semi")
+
+
+def _ppr_sql(n: int, alpha: float = 0.15) -> str:
+    """The series of the walk, one table for each step."""
+    steps = [f"e AS ({_EDGES}), dp AS (SELECT passage_id, count(*) AS d FROM e GROUP BY 1), dc AS (SELECT concept_id, count(*) AS d FROM e GROUP BY 1), v0 AS ({_RESTART})"]
+    parts = []
+    for k in range(1, n + 1):
+        here, there, d = ("concept_id", "passage_id", "dc") if k % 2 else ("passage_id", "concept_id", "dp")
+        steps.append(f"v{k} AS (SELECT query_id, {there}, sum(m / d) AS m FROM v{k - 1} JOIN e USING ({here}) JOIN {d} USING ({here}) GROUP BY ALL)")
+        if k % 2:
+            parts.append(f"SELECT query_id, passage_id, m * {(1 - alpha) ** k * (1 if k == n else alpha)!r} AS s FROM v{k}")
+    return f"WITH {', '.join(steps)} SELECT query_id, passage_id, sum(s) AS score FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
+@query("ppr_k_steps", f"SELECT query_id, passage_id, round(score, 9) AS score FROM ({_ppr_sql(4)})")
+def ppr_k_steps(spark, sf_dir):
+    got = ppr.ppr(_graph_edges(spark, sf_dir), _restart(spark, sf_dir), max_iter=4, kernel_edges=0)
+    return got.withColumn("score", F.round("score", 9))
+
+
+@query(
+    "ppr_topk",
+    f"SELECT query_id, passage_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, passage_id) AS rank FROM ({_ppr_sql(9)})) WHERE rank <= 10",
+)
+def ppr_topk(spark, sf_dir):
+    got = ppr.ppr(_graph_edges(spark, sf_dir), _restart(spark, sf_dir), max_iter=9)
+    return retrieval.top_k(got, 10).select("query_id", "passage_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _fused(method: str):
+    def run(spark, sf_dir):
+        e = table(spark, sf_dir, "events")
+        side = lambda kind: e.where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("query_id"), F.expr("event_id % 50").alias("passage_id")).agg(F.max("value").alias("score"))
+        return retrieval.fuse(side("click"), side("view"), method).withColumn("score", F.round("score", 6))
+
+    return run
+
+
+for _method, _score in {"weighted_sum": "0.6 * p + 0.4 * s", "max": "greatest(p, s)", "harmonic_mean": "CASE WHEN p > 0 AND s > 0 THEN 2 * p * s / (p + s) ELSE 0.6 * p + 0.4 * s END"}.items():
+    _side = "SELECT user_id AS query_id, event_id % 50 AS passage_id, max(value) AS {1} FROM events WHERE event_type = '{0}' GROUP BY ALL"
+    query(
+        f"fuse_{_method}",
+        f"""WITH a AS ({_side.format("click", "p")}), b AS ({_side.format("view", "s")}),
+        f AS (SELECT query_id, passage_id, coalesce(p, 0) AS p, coalesce(s, 0) AS s FROM a FULL JOIN b USING (query_id, passage_id))
+        SELECT query_id, passage_id, p AS ppr_score, s AS semantic_score, round({_score}, 6) AS score FROM f""",
+    )(_fused(_method))
+
+
+@query("content_hash", "SELECT doc_id, md5(text) AS hash FROM documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("hash"))
+
+
+@query("min_length_filter", "SELECT doc_id FROM documents WHERE length(trim(text)) >= 300")
+def min_length_filter(spark, sf_dir):
+    return json.min_length(table(spark, sf_dir, "documents"), "text", 300).select("doc_id")
+
+
+@query("ingest_metadata_paths", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.none.x') AS missing FROM events")
+def ingest_metadata_paths(spark, sf_dir):
+    return json.json_path(table(spark, sf_dir, "events"), "props", k="k", missing="none.x").select("event_id", "k", "missing")
+
+
+@query("ingest_qa", """WITH n AS (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS nxt FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, 'User asked: ' || text || chr(10) || chr(10) || 'Assistant answered: ' || answer AS content FROM n WHERE role = 'user' AND nxt = 'assistant'""")
+def ingest_qa(spark, sf_dir):
+    return json.compose_qa(table(spark, sf_dir, "conversations"))
+
+
+@query("chunk_text")
+def chunk_text(spark, sf_dir):
+    return chunk.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _documents_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("content"), F.col("doc_id").alias("chunk_index"))
+    return graph.build(docs)
+
+
+def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query("flagship_retrieval")
+def flagship_retrieval(spark, sf_dir):
+    """The best ten documents of each benchmark text by personalised PageRank."""
+    return retrieval.ppr_retrieve(_documents_graph(spark, sf_dir), _benchmark_queries(spark, sf_dir))
+
+
+@query("hit_at_k")
+def hit_at_k(spark, sf_dir):
+    """Retrieval quality; the gold passages of a query are the documents that hold its text."""
+    queries = _benchmark_queries(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    gold = queries.join(docs, F.contains(docs["text"], queries["text"])).select("query_id", F.col("doc_id").alias("passage_id")).distinct()
+    ranked = retrieval.ppr_retrieve(_documents_graph(spark, sf_dir), queries)
+    return retrieval.hit_metrics(ranked, gold, queries.join(gold, "query_id", "left_semi"))
