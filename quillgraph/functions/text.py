@@ -1,6 +1,9 @@
 """Text expressions: normalisation, extraction of entities and concepts, overlaps. All of them stay in the JVM.
 
-Nulls give nulls for scalars and empty arrays for extractions.
+Nulls give nulls for scalars and empty arrays for extractions. Repeated groups
+are bounded, since the JVM's matcher recurses once for each: a name of an
+organisation takes 9 words before its last at most, a run of capitalised words
+is split after 401.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ _M = "|".join(m.capitalize() for m in _MONTHS)
 #: Patterns of each entity type; case does not matter in any of them.
 PATTERNS: dict[str, list[str]] = {
     "DATE": [r"\b\d{4}\b", rf"\b(?:{_M})\s+\d{{1,2}},?\s+\d{{4}}\b", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", r"\bq[1-4]\s+\d{4}\b", r"\b(?:fiscal year|fy)\s*\d{4}\b"],
-    "ORG": [r"\b[a-z]{2,}(?:\s+[a-z]{2,})*\s+(?:llc|ltd|limited|inc|corporation|corp|company)\b", r"\b(?:the\s+)?[a-z]{2,}\s+(?:institute|foundation|association|group|bank)\b"],
-    "MONEY": [r"\$\s*\d+(?:,\d{3})*(?:\.\d{2})?(?:\s*(?:trillion|billion|million|t|b|m))?\b", r"\b\d+(?:,\d{3})*(?:\.\d{2})?\s*(?:rupees|inr|usd|dollars)\b"],
+    "ORG": [r"\b[a-z]{2,}(?:\s+[a-z]{2,}){0,8}\s+(?:llc|ltd|limited|inc|corporation|corp|company)\b", r"\b(?:the\s+)?[a-z]{2,}\s+(?:institute|foundation|association|group|bank)\b"],
+    "MONEY": [r"\$\s*\d+(?:,\d{3}){0,40}(?:\.\d{2})?(?:\s*(?:trillion|billion|million|t|b|m))?\b", r"\b\d+(?:,\d{3}){0,40}(?:\.\d{2})?\s*(?:rupees|inr|usd|dollars)\b"],
     "PERCENT": [r"\b\d+(?:\.\d+)?%\b", r"\b\d+(?:\.\d+)?\s*percent\b"],
 }
 CAPITALISED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}\b"
-SEVERAL_CAPITALISED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+SEVERAL_CAPITALISED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,400}\b"
 TECHNICAL = r"\b[A-Z]{2,}\b|\b[a-z]+[A-Z][a-zA-Z]*\b|\b[a-z]+-[a-z]+\b"
 LONG_WORD = r"\b[a-zA-Z]{6,}\b"
 

@@ -72,12 +72,12 @@ def drop_written(spark: SparkSession) -> None:
 
 
 def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _WRITTEN:
-        try:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and _WRITTEN:
             drop_written(spark)
-        except Exception:  # the JVM may be gone by now
-            pass
+    except Exception:  # the JVM may be gone by now
+        pass
 
 
 atexit.register(_at_exit)

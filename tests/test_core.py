@@ -74,3 +74,10 @@ def test_save_load_and_stream_equal_batch(spark, tmp_path):
     got = {r.concept_id for r in spark.read.parquet(str(tmp_path / "out")).select("signature", "concept_id").distinct().collect()}
     assert got == {r.c for r in docs.select(F.explode(T.concepts(F.col("content"))).alias("c")).distinct().collect()}
     assert spark.read.parquet(str(tmp_path / "out")).select("signature").distinct().count() == 4
+
+
+def test_extraction_of_very_long_texts(spark):
+    texts = ["Der " * 50_000, "the words of a long text " * 20_000 + "Acme Inc", "1" + ",000" * 50_000]
+    df = spark.createDataFrame([(t,) for t in texts], "content string")
+    got = df.select(T.entities(F.col("content")).alias("e"), T.concepts(F.col("content")).alias("c")).collect()
+    assert got[1].e[-1] != "" and any("Acme Inc" in e for e in got[1].e) and all(r.c is not None for r in got)
