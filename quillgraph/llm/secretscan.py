@@ -37,7 +37,13 @@ FINDINGS, TREES, DEPTH, MIN_SCORE, SEED = 4000, 40, 9, 0.5, 51
 _RUN = re.compile(r"""(?<![^\s"'`=:<>()\[\]{},;|])[^\s"'`=:<>()\[\]{},;|0-9]*+[0-9][^\s"'`=<>()\[\]{},;|]*+""")
 _ASSIGN = re.compile(r"""[:=]""")
 _VALUE = re.compile(r"""[\s"'`]{0,3}([^\s"'`<>()\[\]{},;|=][^\s"'`<>()\[\]{},;|]{5,}=*)""")
-_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?!-----).)*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?", re.S)
+_KEY_HEAD = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+#: A key block up to its END; without one its fields and its lines of base64, never the text after them.
+_KEY_BLOCK = re.compile(
+    _KEY_HEAD + r"(?:(?:(?!-----).)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:\s{0,4}+(?:Proc-Type|DEK-Info):[^\n]{0,100}+)*+(?:(?:\s|\\[rn]){0,4}+[A-Za-z0-9+/]{24,}+={0,2}+)++(?:(?:\s|\\[rn]){1,4}+[A-Za-z0-9+/]{2,}+={1,2})?)",
+    re.S,
+)
 _WORD = re.compile(r"[^\W\d_]+")
 _BEFORE = re.compile(r"""[^\W\d_]+(?=[\W\d_]{0,6}$)""")
 _AFTER = re.compile(r"""^[\W\d_]{0,3}([^\W\d_]+)""")
@@ -67,8 +73,8 @@ for _k, _chars in enumerate((string.ascii_lowercase, string.ascii_uppercase, str
     _CLASS[[ord(_c) for _c in _chars]] = _k
 
 
-def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans of possible secrets, ascending and without overlap; longer spans win."""
+def proposals(text: str | None) -> list[tuple[int, int]]:
+    """All spans of possible secrets, also those that lie in others or overlap them; longer ones first of equal start."""
     if not text:
         return []
     found = [(m.start(), m.end()) for m in _KEY_BLOCK.finditer(text)] if "-----BEGIN" in text else []
@@ -77,15 +83,31 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
         before = _BEFORE.search(text, max(0, a.start() - 24), a.start())
         if before and before.group().lower() in SECRET_WORDS and (m := _VALUE.match(text, a.end())):
             found.append(m.span(1))
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+    out = set()
+    for s, e in found:
         while e > s and text[e - 1] in ".!?…":
             e -= 1
-        if e - s >= 6 and (not out or s >= out[-1][1]):
-            out.append((s, e))
+        if e - s >= 6:
+            out.add((s, e))
+    return sorted(out, key=lambda x: (x[0], -x[1]))
+
+
+def united(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Ascending ``(start, end, score)`` with those that overlap made one, with the best score, so that no part of any is lost."""
+    out: list[tuple[int, int, float]] = []
+    for s, e, p in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), max(p, out[-1][2]))
+        else:
+            out.append((s, e, p))
     return out
 
 
+def candidates(text: str | None) -> list[tuple[int, int]]:
+    """Spans of possible secrets, ascending and without overlap, whatever their score."""
+    return [(s, e) for s, e, _ in united([(s, e, 0.0) for s, e in proposals(text)])]
+
+
 def _coverage(value: str) -> float:
     """Part of the characters that lie in words of the dictionary, longest words first."""
     hit = 0
@@ -281,12 +303,12 @@ def forest() -> Forest:
 
 
 def scan(text: str | None, model: Forest, least: float = MIN_SCORE) -> list[tuple[int, int, float]]:
-    """``(start, end, score)`` of the secrets of a text."""
-    spans = candidates(text)
+    """``(start, end, score)`` of the secrets of a text; each proposal is judged, overlaps are resolved among the secrets only."""
+    spans = proposals(text)
     if not spans:
         return []
     scores = model.score(np.array([features(text, s, e) for s, e in spans]))
-    return [(s, e, float(p)) for (s, e), p in zip(spans, scores) if p >= least]
+    return united([(s, e, float(p)) for (s, e), p in zip(spans, scores) if p >= least])
 
 
 def findings(docs: DataFrame, model: Forest | None = None, least: float = MIN_SCORE) -> DataFrame:

@@ -64,3 +64,19 @@ def test_spans_never_overlap():
         t = "".join(rng.choice(["token", "=", ' "', "a1b2c3d4e5", " ", "'", ":", "pass", "/x/9", "-----BEGIN PRIVATE KEY-----", "\n"]) for _ in range(20))
         spans = secretscan.candidates(t)
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and all(e - s >= 6 for s, e in spans)
+
+
+def test_nested_secrets_are_judged_and_open_key_blocks_end():
+    model, line = secretscan.forest(), "MIIEpAIBAAKCAQEA" + "b3Kx9" * 9
+    found = lambda t: [t[s:e] for s, e, _ in secretscan.scan(t, model)]
+    head, prose = "-----BEGIN RSA PRIVATE KEY-----", "and more words of the text " * 40
+    assert found(f"{head} was cut. {prose} token={AWS} end") == [AWS]
+    block = f"{head}\n{line}\n{line}\nab=="
+    assert found(f"x {block} {prose} {AWS} end") == [block, AWS]
+    assert found(f"x {block}\n-----END RSA PRIVATE KEY----- {prose}") == [f"{block}\n-----END RSA PRIVATE KEY-----"]
+    nested = f"/docs/v2/page/section/file.html:token:{HEX}"
+    at = nested.index(HEX)
+    assert {(0, len(nested)), (at, len(nested))} <= set(secretscan.proposals(nested))
+    assert found(f"https://api2.x.com/?token={HEX} and oauth2_token={AWS} of") == [HEX, AWS]
+    assert all(HEX in "".join(found(f"{p}token:{HEX} st")) for p in ("see x1:", "oauth2_", "/srv/app/9/path/index.html:"))
+    assert secretscan.united([(0, 9, 0.5), (2, 4, 0.9), (8, 12, 0.6), (12, 13, 0.7)]) == [(0, 12, 0.9), (12, 13, 0.7)]
