@@ -223,9 +223,18 @@ def _restart(spark, sf_dir):
     return parts.join(_graph_edges(spark, sf_dir).select("concept_id").distinct(), "concept_id", "left_semi")
 
 
-def _ppr_sql(n: int, alpha: float = 0.15) -> str:
+_RESTART_ALL = "SELECT p_size AS query_id, p_partkey AS concept_id, 1.0 / count(*) OVER (PARTITION BY p_size) AS m FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)"
+
+
+def _restart_all(spark, sf_dir):
+    """A query for each size: its parts that the graph has."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("concept_id"), F.lit(1.0).alias("weight"))
+    return parts.join(_graph_edges(spark, sf_dir).select("concept_id").distinct(), "concept_id", "left_semi")
+
+
+def _ppr_sql(n: int, alpha: float = 0.15, restart: str = _RESTART) -> str:
     """The series of the walk, one table for each step."""
-    steps = [f"e AS ({_EDGES}), dp AS (SELECT passage_id, count(*) AS d FROM e GROUP BY 1), dc AS (SELECT concept_id, count(*) AS d FROM e GROUP BY 1), v0 AS ({_RESTART})"]
+    steps = [f"e AS ({_EDGES}), dp AS (SELECT passage_id, count(*) AS d FROM e GROUP BY 1), dc AS (SELECT concept_id, count(*) AS d FROM e GROUP BY 1), v0 AS ({restart})"]
     parts = []
     for k in range(1, n + 1):
         here, there, d = ("concept_id", "passage_id", "dc") if k % 2 else ("passage_id", "concept_id", "dp")
@@ -250,6 +259,19 @@ def ppr_topk(spark, sf_dir):
     return retrieval.top_k(got, 10).select("query_id", "passage_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("ppr_k_steps_all", f"SELECT query_id, passage_id, round(score, 9) AS score FROM ({_ppr_sql(4, restart=_RESTART_ALL)})")
+def ppr_k_steps_all(spark, sf_dir):
+    got = ppr.ppr(_graph_edges(spark, sf_dir), _restart_all(spark, sf_dir), max_iter=4, kernel_edges=0)
+    return got.withColumn("score", F.round("score", 9))
+
+
+@query("ppr_topk_all")
+def ppr_topk_all(spark, sf_dir):
+    """All sizes, walked until the change of a step is below the operator's tolerance."""
+    got = ppr.ppr(_graph_edges(spark, sf_dir), _restart_all(spark, sf_dir))
+    return retrieval.top_k(got, 10).select("query_id", "passage_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _fused(method: str):
     def run(spark, sf_dir):
         e = table(spark, sf_dir, "events")
