@@ -19,8 +19,8 @@ def query_entities(queries: DataFrame) -> DataFrame:
     )
 
 
-def match(entities: DataFrame, concepts: DataFrame, partial: bool = False) -> DataFrame:
-    """``query_id, concept_id``: equal, or with ``partial`` either containing the other (a nested loop)."""
+def match(entities: DataFrame, concepts: DataFrame, partial: bool = True) -> DataFrame:
+    """``query_id, concept_id``: either containing the other (a nested loop), or without ``partial`` equal ones only."""
     ids = concepts.select("concept_id")
     if not partial:
         return entities.join(ids, F.col("entity") == F.col("concept_id")).select("query_id", "concept_id").distinct()
@@ -34,7 +34,7 @@ def top_k(scored: DataFrame, k: int, id_col: str = "passage_id", score: Column |
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def ppr_retrieve(graph: Graph, queries: DataFrame, k: int = 10, partial: bool = False, alpha: float = 0.15) -> DataFrame:
+def ppr_retrieve(graph: Graph, queries: DataFrame, k: int = 10, partial: bool = True, alpha: float = 0.15) -> DataFrame:
     """``query_id, passage_id, score, rank`` of the best ``k`` passages of each query with a match."""
     matched = match(query_entities(queries), graph.concepts, partial)
     start = P.restart(matched, graph.concepts, graph.passages.count())

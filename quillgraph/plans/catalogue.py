@@ -328,15 +328,37 @@ def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flagship_retrieval")
 def flagship_retrieval(spark, sf_dir):
-    """The best ten documents of each benchmark text by personalised PageRank."""
+    """The best ten documents of each benchmark text by personalised PageRank; entities match concepts exactly and in part."""
     return retrieval.ppr_retrieve(_documents_graph(spark, sf_dir), _benchmark_queries(spark, sf_dir))
 
 
-@query("hit_at_k")
-def hit_at_k(spark, sf_dir):
-    """Retrieval quality; the gold passages of a query are the documents that hold its text."""
+@query("match_exact")
+def match_exact(spark, sf_dir):
+    """Concepts of the documents that equal an entity of a benchmark text."""
+    return retrieval.match(retrieval.query_entities(_benchmark_queries(spark, sf_dir)), _documents_graph(spark, sf_dir).concepts, partial=False)
+
+
+@query("match_partial")
+def match_partial(spark, sf_dir):
+    """Those that hold such an entity or lie in one, equal ones among them."""
+    return retrieval.match(retrieval.query_entities(_benchmark_queries(spark, sf_dir)), _documents_graph(spark, sf_dir).concepts)
+
+
+def _hits(spark: SparkSession, sf_dir: str, partial: bool) -> DataFrame:
     queries = _benchmark_queries(spark, sf_dir)
     docs = table(spark, sf_dir, "documents")
     gold = queries.join(docs, F.contains(docs["text"], queries["text"])).select("query_id", F.col("doc_id").alias("passage_id")).distinct()
-    ranked = retrieval.ppr_retrieve(_documents_graph(spark, sf_dir), queries)
+    ranked = retrieval.ppr_retrieve(_documents_graph(spark, sf_dir), queries, partial=partial)
     return retrieval.hit_metrics(ranked, gold, queries.join(gold, "query_id", "left_semi"))
+
+
+@query("hit_at_k")
+def hit_at_k(spark, sf_dir):
+    """Retrieval quality of exact matching; the gold passages of a query are the documents that hold its text."""
+    return _hits(spark, sf_dir, False)
+
+
+@query("hit_at_k_partial")
+def hit_at_k_partial(spark, sf_dir):
+    """The same of the flagship, which matches parts too."""
+    return _hits(spark, sf_dir, True)

@@ -43,3 +43,18 @@ def test_pagerank_of_every_size_runs_to_its_tolerance(spark, tmp_path):
         rows = sorted(got[size])
         assert len(rows) == len(best)
         assert all(abs(score - b) < 2e-6 and abs(score - want[p]) < 2e-6 for (_, p, score), b in zip(rows, best))
+
+
+def test_flagship_matches_concepts_in_part(spark, tmp_path):
+    texts = ["Rebuilding networks slowly", "networks of Rebuilding teams", "plain harbour report", "the harbour report again", "distant mountain village", "mountain village school"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [(1, "network"), (2, "harbourside"), (3, "mountain"), (4, "nothing")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    pairs = lambda name: {(r.query_id, r.concept_id) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    concepts = {"rebuilding", "networks", "harbour", "report", "mountain", "village"}
+    assert pairs("match_exact") == {(i, q) for i, q in asked if q in concepts} == {(3, "mountain")}
+    assert pairs("match_partial") == {(i, c) for i, q in asked for c in concepts if q in c or c in q}
+    got = {}
+    for r in QUERIES["flagship_retrieval"](spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, set()).add(r.passage_id)
+    assert got == {1: {0, 1}, 2: {2, 3}, 3: {4, 5}}
