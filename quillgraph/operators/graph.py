@@ -50,14 +50,19 @@ def mentions(passages: DataFrame, entities: Column | None = None, concepts: Colu
     )
 
 
+def band(found: DataFrame, passages: int, min_freq: int = 2, max_ratio: float = 0.5) -> DataFrame:
+    """``concept_id, n, first, frequency`` of concepts whose number ``n`` of mention rows lies in ``min_freq .. int(passages * max_ratio)``."""
+    first = F.min(F.struct("chunk_index", "kind_rank", "surface")).alias("first")
+    counted = found.groupBy("concept_id").agg(F.count("*").alias("n"), first, F.countDistinct("passage_id").alias("frequency"))
+    return counted.where(F.col("n").between(min_freq, int(passages * max_ratio)))
+
+
 def build(passages: DataFrame, min_freq: int = 2, max_ratio: float = 0.5, **extracted: Column) -> Graph:
     """Concepts whose number of mention rows lies in ``min_freq .. int(passages * max_ratio)``, and their edges."""
     if min_freq < 1 or not 0 < max_ratio <= 1:
         raise ValueError("min_freq must be at least 1 and max_ratio in (0, 1]")
     found = cut(mentions(passages, **extracted))
-    most = int(passages.count() * max_ratio)
-    first = F.min(F.struct("chunk_index", "kind_rank", "surface")).alias("first")
-    banded = found.groupBy("concept_id").agg(F.count("*").alias("n"), first, F.countDistinct("passage_id").alias("frequency")).where(F.col("n").between(min_freq, most))
+    banded = band(found, passages.count(), min_freq, max_ratio)
     kind = F.when(F.col("first.kind_rank") == 0, "named_entity").otherwise("concept")
     concepts = cut(banded.select("concept_id", F.col("first.surface").alias("concept_text"), kind.alias("concept_type"), "frequency"))
     edges = cut(found.join(concepts.select("concept_id"), "concept_id", "left_semi").select("passage_id", "concept_id").distinct().withColumn("weight", F.lit(1.0)))

@@ -322,6 +322,13 @@ def _documents_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
     return graph.build(docs)
 
 
+@query("concept_mention_band")
+def concept_mention_band(spark, sf_dir):
+    """Mention rows of all entities and concepts of the documents, within the band of the graph."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("content"), F.col("doc_id").alias("chunk_index"))
+    return graph.band(graph.mentions(docs), docs.count()).select("concept_id", "n")
+
+
 def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 

@@ -58,3 +58,15 @@ def test_flagship_matches_concepts_in_part(spark, tmp_path):
     for r in QUERIES["flagship_retrieval"](spark, str(tmp_path)).collect():
         got.setdefault(r.query_id, set()).add(r.passage_id)
     assert got == {1: {0, 1}, 2: {2, 3}, 3: {4, 5}}
+
+
+def test_mention_band_counts_every_kind(spark, tmp_path):
+    texts = [
+        "In 2024 the Acme Corporation paid $5 million, up 12 percent.", "Acme Corporation and IBM in 2024", "user-friendly camelCase of IBM", "a user-friendly camelCase would should",
+        "Revenue revenue networks", "networks of harbour", "plain", "paid $5 million and 12 percent", "nothing here", "",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.concept_id: r.n for r in QUERIES["concept_mention_band"](spark, str(tmp_path)).collect()}
+    # Counted by hand: entity and concept rows add up ("acme corporation" is both, and the capitalised phrase an entity of the same surface);
+    # "revenue" is one entity row and one concept row. Stop words among the long words are left out.
+    assert got == {"2024": 2, "acme corporation": 4, "corporation": 2, "$5 million": 2, "million": 2, "12 percent": 2, "percent": 2, "user-friendly": 2, "friendly": 2, "camelcase": 4, "revenue": 2, "networks": 2}
