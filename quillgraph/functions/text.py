@@ -1,9 +1,9 @@
 """Text expressions: normalisation, extraction of entities and concepts, overlaps. All of them stay in the JVM.
 
-Nulls give nulls for scalars and empty arrays for extractions. Repeated groups
-are bounded, since the JVM's matcher recurses once for each: a name of an
-organisation takes 9 words before its last at most, a run of capitalised words
-is split after 401.
+Nulls give nulls for scalars and empty arrays for extractions. The JVM's matcher
+recurses once for each repeat of a group, unless the repeat is possessive; so
+the reference's unbounded groups are written as possessive ones that match the
+same texts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ QUERY_STOP = "a about an and are at but by find for from how in is me of on or s
 _MONTHS = "january february march april may june july august september october november december".split()
 _M = "|".join(m.capitalize() for m in _MONTHS)
 
-#: Patterns of each entity type; case does not matter in any of them.
+#: Patterns of each entity type for SQL, with bounded groups; case does not matter in any of them. Extraction puts UNBOUNDED in their place.
 PATTERNS: dict[str, list[str]] = {
     "DATE": [r"\b\d{4}\b", rf"\b(?:{_M})\s+\d{{1,2}},?\s+\d{{4}}\b", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", r"\bq[1-4]\s+\d{4}\b", r"\b(?:fiscal year|fy)\s*\d{4}\b"],
     "ORG": [r"\b[a-z]{2,}(?:\s+[a-z]{2,}){0,8}\s+(?:llc|ltd|limited|inc|corporation|corp|company)\b", r"\b(?:the\s+)?[a-z]{2,}\s+(?:institute|foundation|association|group|bank)\b"],
@@ -26,7 +26,15 @@ PATTERNS: dict[str, list[str]] = {
     "PERCENT": [r"\b\d+(?:\.\d+)?%\b", r"\b\d+(?:\.\d+)?\s*percent\b"],
 }
 CAPITALISED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}\b"
-SEVERAL_CAPITALISED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,400}\b"
+SEVERAL_CAPITALISED = r"\b[A-Z][a-z]++(?:\s++[A-Z][a-z]++\b)++"
+#: A run of two or more words, and its part up to the last word that names a form of company: the longest match of the reference's pattern.
+_RUN, _TO_FORM = r"(?i)\b[a-z]{2,}+(?:\s++[a-z]{2,}+\b)++", r"(?is)^.*\s(?:llc|ltd|limited|inc|corporation|corp|company)\b"
+_TAIL = r"(?:\.\d{2})?(?:\s*(?:trillion|billion|million|t|b|m))?\b"
+#: What stands for some of PATTERNS, by kind and place. A thousands group is taken only where the rest can follow it.
+UNBOUNDED: dict[tuple[str, int], str] = {
+    ("MONEY", 0): rf"\$\s*\d+(?:,\d{{3}}(?={_TAIL}))*+{_TAIL}",
+    ("MONEY", 1): r"\b\d+(?:,\d{3})*+(?:\.\d{2})?\s*(?:rupees|inr|usd|dollars)\b",
+}
 TECHNICAL = r"\b[A-Z]{2,}\b|\b[a-z]+[A-Z][a-zA-Z]*\b|\b[a-z]+-[a-z]+\b"
 LONG_WORD = r"\b[a-zA-Z]{6,}\b"
 
@@ -56,10 +64,16 @@ def capitalised(text: Column) -> Column:
     return F.array_distinct(F.filter(matches(text, CAPITALISED), _not_all_stop))
 
 
+def _found(text: Column, kind: str, place: int) -> Column:
+    if (kind, place) == ("ORG", 0):
+        return F.filter(F.transform(matches(text, _RUN), lambda run: F.regexp_extract(run, _TO_FORM, 0)), lambda e: e != "")
+    return matches(text, "(?i)" + UNBOUNDED.get((kind, place), PATTERNS[kind][place]))
+
+
 def pattern_entities(text: Column, kind: str) -> Column:
-    found = F.array_union(matches(text, "(?i)" + PATTERNS[kind][0]), F.array().cast("array<string>"))
-    for p in PATTERNS[kind][1:]:
-        found = F.array_union(found, matches(text, "(?i)" + p))
+    found = F.array_union(_found(text, kind, 0), F.array().cast("array<string>"))
+    for place in range(1, len(PATTERNS[kind])):
+        found = F.array_union(found, _found(text, kind, place))
     return F.filter(found, lambda e: F.length(e) > 1)
 
 
