@@ -2,23 +2,25 @@
 
 Large-star and small-star steps rewire every edge towards the least label of
 its neighbourhood; edges never multiply, hubs are spread by label, and the
-number of rounds is logarithmic in practice. Each round is one written table.
+number of rounds is logarithmic in practice. The least neighbour of a node is
+an aggregate, combined before the shuffle, and joined back, so that the edges
+of a hub are never one window of one task. Each round is one written table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
     return (
-        both.withColumn("m", least)
-        .where(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both.where("v > u")
+        .join(least, "u")
+        .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         .where("u <> v")
         .distinct()
     )
@@ -26,10 +28,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    marked = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-    out = marked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-        marked.select("u", F.col("m").alias("v"))
-    )
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
