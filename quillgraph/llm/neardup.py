@@ -2,25 +2,30 @@
 
 Every document posts its MinHash signature under each (coordinate, value)
 pair. Two documents are near copies if they collide in at least ``matches`` of
-the ``k`` coordinates. The join never forms all pairs of a posting list:
-
-* equal signatures are one node;
-* a posting list of one document is dropped, and with it every document with
-  fewer than ``matches`` shared pairs left (it can't reach the threshold);
-* the shared pairs of a document are ordered by list length; of its m pairs
-  only the m - matches + 1 shortest lists are merged (prefix), the long lists
-  are skipped, and collisions are counted on the signatures themselves, so
-  that the count is exact;
-* inside a list a document that is already linked isn't compared with the
-  others of its cluster again, so a list of n copies gives n - 1 links.
-
-The links have the same connected components as the full set of pairs above
-the threshold. ``near_groups`` returns those components.
+the ``k`` coordinates. The join never forms all pairs of equal texts, nor
+holds a posting list:
+
+* equal signatures are one node, named by a 64-bit hash of the signature;
+* lists are counted by an aggregate that is combined before its shuffle; a
+  list of one node is dropped, and with it every node with fewer than
+  ``matches`` shared pairs left (it can't reach the threshold);
+* the shared pairs of a node are ordered by list length; of its m pairs only
+  the m - matches + 1 shortest lists are merged (prefix), the long lists are
+  skipped, and collisions are counted on the signatures themselves, so that
+  the count is exact;
+* a merged list is cut into blocks and compared pair of blocks by pair of
+  blocks (see ``pairs``), so that a list of any length is work for many tasks.
+  A pair that meets in several lists is taken in the first of them only.
+
+No link between different signatures is lost: each document comes with the
+number of other signatures that its own is linked with. Groups are the
+connected components of the links.
 
 Defined results: null ids, null and empty texts and texts without a token
 have no signature and no partner. Documents of fewer than ``shingle`` tokens
-are one shingle. A repeated id is one document and never its own partner.
-Extra columns are ignored; an empty table gives an empty result.
+are one shingle. A repeated id is one document and never its own partner; if
+its texts differ it has the links of all of them. Extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,18 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators.components import connected_components
 from ..session import cut
-from . import kernel
+from . import ids as idset
+from . import kernel, pairs
 
-#: Coordinates, collisions that make a near copy, tokens in a shingle, and the seed of the permutations.
+#: Coordinates (64 at most), collisions that make a near copy, tokens in a shingle, and the seed of the permutations.
 COORDINATES, MATCHES, SHINGLE, SEED = 64, 32, 3, 20177
 
 
 def signatures(docs: DataFrame, k: int = COORDINATES, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id`` and ``sig`` (k ints) of the documents that have a token."""
+    """``doc_id``, ``node`` (a hash of the signature) and ``sig`` (k ints) of the documents that have a token."""
+    if not 1 <= k <= 64:
+        raise ValueError("k must be 1 to 64")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,134 +55,53 @@ def signatures(docs: DataFrame, k: int = COORDINATES, shingle: int = SHINGLE, se
             for w in kernel.words(texts):
                 sh, first = kernel.shingles(w, shingle)
                 has = np.diff(first) > 0
-                sig = kernel.minhash(sh, first, k, seed)[has].view(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[w.lo : w.hi][has], pa.int64()), kernel.lists(sig.reshape(-1), np.full(len(sig), k), pa.int32())],
-                    names=["doc_id", "sig"],
-                )
+                sig = kernel.minhash(sh, first, k, seed)[has]
+                columns = [
+                    pa.array(ids[w.lo : w.hi][has], pa.int64()),
+                    pa.array(pairs.identity(sig).view(np.int64)),
+                    kernel.lists(sig.view(np.int32).reshape(-1), np.full(len(sig), k), pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "sig"])
 
     source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
-    return source.mapInArrow(sign, "doc_id bigint, sig array<int>")
-
-
-def _forest(sig: np.ndarray, need: int) -> list[tuple[int, int, int]]:
-    """Links between rows with ``need`` equal coordinates: a spanning forest of their graph."""
-    out, rest = [], np.arange(len(sig))
-    while len(rest) > 1:
-        todo, rest = [int(rest[0])], rest[1:]
-        while todo and len(rest):
-            p = todo.pop()
-            same = (sig[rest] == sig[p]).sum(1)
-            hit = same >= need
-            out += [(p, int(x), int(n)) for x, n in zip(rest[hit], same[hit])]
-            todo += rest[hit].tolist()
-            rest = rest[~hit]
-    return out
-
-
-def link_lists(postings: DataFrame, k: int, need: int) -> DataFrame:
-    """Links ``src > dst, matches`` inside the lists of ``postings(key, doc_id, sig)``."""
-
-    def flush(key: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        at = kernel.runs(key)
-        n = np.diff(at)
-        two = at[:-1][n == 2]
-        same = (sig[two] == sig[two + 1]).sum(1)
-        hit = same >= need
-        src, dst, got = [ids[two[hit]]], [ids[two[hit] + 1]], [same[hit]]
-        for i in np.flatnonzero(n > 2):
-            links = _forest(sig[at[i] : at[i + 1]], need)
-            if links:
-                a, b, c = np.array(links).T
-                src.append(ids[at[i] + a])
-                dst.append(ids[at[i] + b])
-                got.append(c)
-        s, d, m = np.concatenate(src), np.concatenate(dst), np.concatenate(got)
-        ok = s != d
-        s, d, m = s[ok], d[ok], m[ok]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.maximum(s, d), pa.int64()), pa.array(np.minimum(s, d), pa.int64()), pa.array(m.astype(np.int32))],
-            names=["src", "dst", "matches"],
-        )
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sig = batch.column(2).flatten().to_numpy().reshape(-1, k)
-            last = np.searchsorted(key, key[-1])  # the last list may go on in the next batch
-            if last == 0 and held and held[-1][0][-1] == key[0]:
-                held.append((key, ids, sig))
-                continue
-            held.append((key[:last], ids[:last], sig[:last]))
-            yield flush(*(np.concatenate(x) for x in zip(*held)))
-            held = [(key[last:], ids[last:], sig[last:])]
-        if held:
-            yield flush(*(np.concatenate(x) for x in zip(*held)))
-
-    found = postings.select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key")
-    return (
-        found.mapInArrow(walk, "src bigint, dst bigint, matches int").groupBy("src", "dst").agg(F.max("matches").alias("matches"))
-    )
+    return source.mapInArrow(sign, "doc_id bigint, node bigint, sig array<int>")
 
 
-def classes(sig: DataFrame) -> DataFrame:
-    """``doc_id, sig, rep``: equal signatures share the least id as ``rep``; ``first`` marks one row of each."""
-    w = Window.partitionBy("sig").orderBy("doc_id")
-    return cut(sig.withColumns({"rep": F.first("doc_id").over(w), "first": F.row_number().over(w) == 1}))
-
-
-def links(nodes: DataFrame, k: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """Links among the first rows of :func:`classes`; see the module's text."""
-    one = nodes.where("first").select("doc_id", "sig", F.xxhash64("sig").alias("h"))
-    posted = one.select("doc_id", "h", F.posexplode("sig")).select(
-        "doc_id", "h", F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(F.col("col").cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("key")
+def merged(one: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """Postings ``key, n, node, sig, mask`` of the lists that are merged, of ``one(node, sig)``."""
+    posted = one.select("node", F.posexplode("sig")).select(
+        "node", F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(F.col("col").cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("key")
     )
-    shared = posted.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
-    merged = (
-        shared.groupBy("doc_id", "h")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("lists"))
+    shared = posted.join(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    lists = (
+        shared.groupBy("node")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("lists"))
         .where(F.size("lists") >= matches)
-        .select("doc_id", "h", F.slice(F.col("lists.key"), 1, F.size("lists") - (matches - 1)).alias("keys"))
-    )
-    postings = merged.join(one, ["doc_id", "h"]).select("doc_id", "sig", F.explode("keys").alias("key"))
-    return link_lists(postings, k, matches)
-
-
-def near_groups(docs: DataFrame, k: int = COORDINATES, matches: int = MATCHES, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each group of near copies: ``group_id`` (its least id), sorted ``doc_ids``, ``n_docs``,
-    ``n_links`` between different signatures and the ``least_matches`` of them (``k`` if there is none)."""
-    nodes = classes(signatures(docs, k, shingle))
-    edges = cut(links(nodes, k, matches))
-    label = connected_components(edges).withColumnRenamed("node", "rep")
-    several = nodes.groupBy("rep").agg(F.collect_set("doc_id").alias("ids"))
-    grouped = (
-        several.join(label, "rep", "left")
-        .where("component IS NOT NULL OR size(ids) > 1")
-        .groupBy(F.coalesce("component", "rep").alias("group_id"))
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("doc_ids"))
-    )
-    strength = (
-        edges.join(label, edges.dst == label.rep)
-        .groupBy(F.col("component").alias("group_id"))
-        .agg(F.count("*").alias("n_links"), F.min("matches").alias("least_matches"))
-    )
-    return (
-        grouped.join(strength, "group_id", "left")
-        .where("size(doc_ids) > 1")
-        .select(
-            "group_id",
-            "doc_ids",
-            F.size("doc_ids").cast("bigint").alias("n_docs"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-            F.coalesce("least_matches", F.lit(k)).alias("least_matches"),
-        )
+        .select("node", F.slice(F.col("lists"), 1, F.size("lists") - (matches - 1)).alias("lists"))
     )
+    mask = F.expr("aggregate(lists, 0L, (m, x) -> m | shiftleft(1L, cast(shiftrightunsigned(x.key, 32) AS int)))")
+    return lists.withColumn("mask", mask).join(one, "node").select("node", "sig", "mask", F.inline("lists"))
+
+
+def near(docs: DataFrame, k: int = COORDINATES, matches: int = MATCHES, shingle: int = SHINGLE, block: int = pairs.BLOCK) -> DataFrame:
+    """``doc_id, group_id, class_id, n_docs, n_links`` of each document that has a near copy.
+
+    ``group_id`` is the least id of its group, ``n_docs`` the group's size,
+    ``class_id`` the least id with the same signature and ``n_links`` the
+    number of other signatures with at least ``matches`` collisions.
+    """
+    signed = cut(signatures(docs, k, shingle))
+    one = cut(signed.groupBy("node").agg(F.first("sig").alias("sig")))
+    edges, links = pairs.collide(merged(one, matches), k, matches, block)
+    return pairs.memberships(signed.select("doc_id", "node"), edges, links)
+
 
+def drop_near(docs: DataFrame, k: int = COORDINATES, matches: int = MATCHES, shingle: int = SHINGLE, broadcast_ids: int = idset.BROADCAST_IDS) -> DataFrame:
+    """``docs`` without the documents of a group other than its least id; rows with a null id stay.
 
-def drop_near(docs: DataFrame, k: int = COORDINATES, matches: int = MATCHES, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without the documents of a group other than its least id; rows with a null id stay."""
-    lost = near_groups(docs, k, matches, shingle).select(F.explode("doc_ids").alias("__lost"), "group_id").where("__lost <> group_id")
-    return docs.join(lost.select("__lost"), F.col("doc_id") == F.col("__lost"), "left_anti")
+    The ids that go are broadcast if they are at most ``broadcast_ids``, and joined beyond; the rows are the same.
+    """
+    lost = cut(near(docs, k, matches, shingle).where("doc_id <> group_id").select(F.col("doc_id").alias("__lost")).distinct())
+    if lost.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        lost = F.broadcast(lost)
+    return docs.join(lost, F.col("doc_id").cast("bigint") == F.col("__lost"), "left_anti")

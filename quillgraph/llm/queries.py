@@ -27,8 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @query("op8_document_fingerprints")
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of documents whose shingle sets have a verified Jaccard, as sorted lists of ids."""
-    return fingerprints.groups(table(spark, sf_dir, "documents"))
+    """Every document that has a copy or near copy by verified Jaccard, with its group and number of links."""
+    return fingerprints.near(table(spark, sf_dir, "documents"))
 
 
 @query("op9_weighted_hash_tree", hashtree.sql("documents", "doc_id"))
@@ -64,8 +64,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of near copies, as sorted lists of ids."""
-    return neardup.near_groups(table(spark, sf_dir, "documents"))
+    """Every document that has a near copy, with its group, class and number of links."""
+    return neardup.near(table(spark, sf_dir, "documents"))
 
 
 @query("op1_pii")
