@@ -58,12 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    written(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(path: str) -> None:
+    """Note a table or folder for :func:`drop_written`."""
+    _WRITTEN.append(path)
+
+
 def drop_written(spark: SparkSession) -> None:
-    """Delete the tables that :func:`cut` wrote; their readers end with them."""
+    """Delete what :func:`cut` wrote and what :func:`written` noted; its readers end with it."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
