@@ -29,7 +29,7 @@ def brute(texts):
 
     def p(g):
         if not g:
-            return 2.0**-12
+            return 2.0**-21
         t, d, total, off = info[len(g)]
         if g[:-1] not in total:
             return p(g[1:])
@@ -54,21 +54,44 @@ def test_scores_equal_brute_force_whatever_the_shards(spark):
     grams, contexts = quality.levels(counts)
     model = brute([r[1] for r in data if r[0] % 3])
     for rows in (1 << 20, 700):
-        shards = list(quality.shards(grams, contexts, rows))
-        assert len(shards) > 1 or rows > 700
-        got = {r.doc_id: r.nll for r in quality.score(docs, shards).collect()}
+        stored = quality.store(grams, contexts, rows)
+        assert stored.of > 1 or rows > 700
+        got = {r.doc_id: r.nll for r in quality.score(docs.repartition(3), stored).collect()}
         for i, t, *_ in data:
             assert abs(got[i] - model(t)) < 1e-3 * len(t), (rows, i)
 
 
 def test_probabilities_sum_to_one(spark):
     _, docs, labels = fixture(spark, 20)
-    (shard,) = quality.shards(*quality.levels(quality.count(docs, quality.trusted_ids(labels))))
+    model = quality.store(*quality.levels(quality.count(docs, quality.trusted_ids(labels))))
     for context in ("the ", "qqqq", "\0\0\0t"):
-        code = 0
-        for c in context:
-            code = code << 12 | ord(c)
-        assert abs(np.exp(shard.log_p((code << 12) + np.arange(4096))).sum() - 1) < 1e-4
+        a, b, c, d = map(ord, context)
+        last = np.arange(1 << quality.BITS)
+        p = model.log_p(np.full(len(last), a << 21 | b), (c << 42 | d << 21) + last)
+        assert abs(np.exp(p).sum() - 1) < 1e-4
+
+
+def test_parts_of_long_texts_give_the_same_ngrams():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab 日語😀") for _ in range(rng.randint(0, 40))) for _ in range(30)] + [None, ""]
+    grams = lambda size: sorted(
+        (i, int(h), int(x)) for p in quality.parts(texts, size) for hi, lo, at in [quality.codes(p)] for (i, *_), a, b in zip(p, at, at[1:]) for h, x in zip(hi[a:b], lo[a:b])
+    )
+    want = []
+    for i, t in enumerate(texts):
+        s = [0] * 4 + [ord(c) for c in t or ""]
+        want += [(i, s[j] << 21 | s[j + 1], s[j + 2] << 42 | s[j + 3] << 21 | s[j + 4]) for j in range(len(t or ""))]
+    assert grams(5) == grams(17) == grams(1 << 20) == sorted(want)
+
+
+def test_every_character_counts_whatever_its_script(spark):
+    """Trusted Chinese text tells its own characters from others."""
+    rng = random.Random(4)
+    write = lambda letters: "".join(rng.choice(letters) for _ in range(300))
+    data = [(i, write("的一是不了人我在有他"), "zh", "a", 300) for i in range(60)] + [(100 + i, write("鑫森淼焱垚犇猋骉羴鱻"), "zh", "a", 300) for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in quality.keep(corpus.frame(spark, data), labels).collect()}
+    assert len(kept & set(range(60))) >= 58 and not kept & set(range(100, 110))
 
 
 def test_junk_goes_and_clean_stays(spark):
