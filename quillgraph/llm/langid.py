@@ -13,8 +13,9 @@ landmark has share one symbol.
 
 Defined results: null, empty and letterless texts have no language
 (``language`` null, ``score`` 0) and are not accepted; the label column is
-read for training only. Extra columns pass through; rows are never merged, so
-repeated rows stay repeated. An empty table gives an empty result. Ties of
+read for training only, from whole texts of any length that have a letter.
+Extra columns pass through, in ``keep`` under any name; rows are never merged,
+so repeated rows stay repeated. An empty table gives an empty result. Ties of
 scores go to the language that sorts first.
 """
 
@@ -29,8 +30,6 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 #: Bounds of the labelled sample, per language: rows that train, and how many of them are landmarks.
 TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 300, 60
-#: Labelled texts are cut to this many characters for training only; scoring reads whole texts.
-TRAIN_CHARS = 600
 SPECTRUM = (1, 2, 3)
 #: Accept a text if its best one-versus-rest score is at least this; targets are 1 and 0.
 MIN_SCORE = 0.15
@@ -137,19 +136,29 @@ def _product(row: np.ndarray, col: np.ndarray, weights: np.ndarray, rows: int) -
 
 
 def kernel(model: Model, a: list[list[np.ndarray]], b: list[list[np.ndarray]]) -> np.ndarray:
-    """Blended presence kernel of two lists of presence sets over the model's n-grams."""
+    """Blended presence kernel of two lists of presence sets over the model's n-grams, in blocks of n-grams."""
     total = np.zeros((len(a), len(b)))
     for k, vocabulary in enumerate(model.vocabulary):
-        xs = []
+        places, norms = [], []
         for texts in (a, b):
-            x = np.zeros((len(texts), len(vocabulary)), np.float32)
-            for r, sets in enumerate(texts):
-                hit = np.searchsorted(vocabulary, sets[k])
-                hit[hit == len(vocabulary)] = 0
-                x[r, hit[vocabulary[hit] == sets[k]]] = 1
-            norm = np.sqrt(np.maximum([len(s[k]) for s in texts], 1))
-            xs.append(x / norm[:, None])
-        total += xs[0] @ xs[1].T
+            row = np.repeat(np.arange(len(texts)), [len(t[k]) for t in texts])
+            flat = np.concatenate([t[k] for t in texts]) if texts else np.zeros(0, np.int64)
+            at = np.searchsorted(vocabulary, flat)
+            at[at == len(vocabulary)] = 0
+            hit = vocabulary[at] == flat
+            order = np.argsort(at[hit], kind="stable")
+            places.append((row[hit][order], at[hit][order]))
+            norms.append(np.sqrt(np.maximum([len(t[k]) for t in texts], 1)))
+        both = np.zeros((len(a), len(b)))
+        for lo in range(0, len(vocabulary), 4096):
+            xs = []
+            for (row, at), texts in zip(places, (a, b)):
+                i, j = np.searchsorted(at, (lo, lo + 4096))
+                x = np.zeros((len(texts), 4096), np.float32)
+                x[row[i:j], at[i:j] - lo] = 1
+                xs.append(x)
+            both += xs[0] @ xs[1].T
+        total += both / norms[0][:, None] / norms[1]
     return total / len(model.vocabulary)
 
 
@@ -161,7 +170,7 @@ def train(
     spectrum: tuple[int, ...] = SPECTRUM,
 ) -> Model:
     """Fit on labelled texts; the first texts of each language are its landmarks."""
-    folded = [fold(t)[:TRAIN_CHARS] for t in texts]
+    folded = [fold(t) for t in texts]
     languages = sorted(set(labels))
     left = {lang: landmarks_per_language for lang in languages}
     land = []
@@ -193,9 +202,9 @@ def train(
 
 
 def training_sample(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> list:
-    """A bounded sample of labelled rows, chosen by a hash of the text, not by place."""
+    """A sample of at most ``per_language`` labelled rows of each language, chosen by a hash of the text, not by place or length."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    labelled = docs.where("lang IS NOT NULL AND length(text) >= 200").select("lang", F.substring("text", 1, 4 * TRAIN_CHARS).alias("text"))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     return (
         labelled.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_language)
@@ -241,6 +250,27 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", carry: li
     return source.mapInArrow(score, schema)
 
 
+def keep(docs: DataFrame, model: Model | None = None, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs`` that :func:`accept` takes, with their own columns, whatever these are called."""
+    model = fit(docs) if model is None else model
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, declared = batch.column(at).to_pylist(), batch.column(lang).to_pylist()
+            ok = np.zeros(len(texts), bool)
+            for lo in range(0, len(texts) if model else 0, 256):
+                s = model.scores(texts[lo : lo + 256])
+                best = s.argmax(1)
+                top = s[np.arange(len(s)), best].astype(np.float64)
+                rest = np.sort(s, 1)[:, -2].astype(np.float64) if s.shape[1] > 1 else np.zeros(len(s))
+                other = np.array([d in model.languages and d != model.languages[b] for d, b in zip(declared[lo : lo + 256], best)], bool)
+                ok[lo : lo + 256] = (s != 0).any(1) & (top >= min_score) & ~(other & (top - rest >= min_margin))
+            yield batch.filter(pa.array(ok))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def accept(
     docs: DataFrame,
     model: Model | None = None,
