@@ -10,14 +10,16 @@ normalised weight bounds what it can add.
 Frequent terms from which no item draws ``OPTIONAL`` of the threshold aren't
 looked up at first; what they could add is subtracted from the threshold. A
 passage is pruned if in no block of items the maxima of its other terms reach
-the rest (one sparse product for all passages); then by the maxima of all its
-terms; what is left runs block-max WAND, which is exact: it returns every item at or above the threshold. A hit counts
+the rest (block maxima added up for a run of passages at a time, so that what
+is held is bounded by ``CELLS``, however many items or passages there are);
+then by the maxima of all its terms; what is left runs block-max WAND, which is exact: it returns every item at or above the threshold. A hit counts
 if enough of the item's question and of its answer is found in the passage,
 measured by token 3-grams. Items have one text; its last quarter of tokens
 (three at least) is the answer and the rest the question.
 
-The index is broadcast in shards of ``ITEMS_PER_INDEX`` items; a larger
-benchmark is searched shard by shard, with document frequencies of the whole.
+The index is broadcast in shards of at most ``ITEMS_PER_INDEX`` items and about
+``INDEX_BYTES`` of text; a larger benchmark is searched shard by shard, with
+document frequencies of the whole.
 
 Defined results: null or empty items are left out, null or empty texts have
 no hit, a null id is kept as null. Repeated documents or items are reported
@@ -28,6 +30,7 @@ tables give empty hits.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +45,9 @@ MIN_SCORE, MIN_QUESTION, MIN_ANSWER = 0.5, 0.5, 0.3
 GRAM, BLOCK = 3, 2
 #: Part of the threshold that frequent terms may add without being looked up for every passage.
 OPTIONAL = 0.3
-ITEMS_PER_INDEX = 50_000
+ITEMS_PER_INDEX, INDEX_BYTES = 50_000, 64 << 20
+#: Cells (passages x blocks) and entries of block maxima that are added up at once.
+CELLS = 1 << 19
 
 
 def _grams(h: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -125,9 +130,16 @@ class Index:
         return pos[ok], self.rare[i]
 
     def wand(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """All items whose score with these distinct terms is at least the threshold."""
+        """All items whose score with these distinct terms is at least the threshold.
+
+        Lists move on to the next block of items in which the terms' block maxima reach it.
+        """
         out: list[tuple[int, float]] = []
         least = self.threshold - 1e-9
+        at, _ = self._maxima(terms)
+        good = np.flatnonzero(np.bincount(self.block_no[at], self.block_max[at]) >= least).tolist() if len(at) else []
+        if not good:
+            return out
         lists = [[int(self.post_item[self.post_at[t]]), int(self.post_at[t]), int(t)] for t in terms]
         block_end = lambda item: (item // BLOCK + 1) * BLOCK
 
@@ -139,6 +151,7 @@ class Index:
             x[0] = int(self.post_item[x[1]])
             return True
 
+        lists = [x for x in lists if seek(x, good[0] * BLOCK)]
         while lists:
             lists.sort()
             total, pivot = 0.0, -1
@@ -152,6 +165,11 @@ class Index:
             item = lists[pivot][0]
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
+            if good[(k := bisect.bisect_left(good, item // BLOCK)) : k + 1] != [item // BLOCK]:
+                if k == len(good):
+                    break
+                lists = [x for x in lists if x[0] >= good[k] * BLOCK or seek(x, good[k] * BLOCK)]
+                continue
             inside = 0.0
             for x in lists[: pivot + 1]:
                 a, b = self.block_at[x[2]], self.block_at[x[2] + 1]
@@ -184,17 +202,12 @@ class Index:
         window = first[doc] + (pos - w.first[doc]) // self.stride
         key = np.unique(np.concatenate((window, window + 1)) * len(self.terms) + np.concatenate((term, term)))
         window, term = key // len(self.terms), key % len(self.terms)
-        # block maxima of the terms of each window, summed by block
-        i, n = self._maxima(term)
-        sums = np.bincount(np.repeat(window, n) * self.blocks + self.block_no[i], self.block_max[i], minlength=int(first[-1]) * self.blocks)
         out = {}
-        for j in np.flatnonzero((sums.reshape(-1, self.blocks) >= self.need).any(1)):
+        for j in self._promising(window, term):
             d = int(np.searchsorted(first, j, "right")) - 1
             a = w.first[d] + (j - first[d]) * self.stride
             passage = w.hash[max(a - self.stride, w.first[d]) : min(a + self.stride, w.first[d + 1])]
             terms = np.unique(self._find(self.terms, passage)[1])
-            if self._most(terms) < self.threshold - 1e-9:
-                continue
             got = self.wand(terms)
             if not got:
                 continue
@@ -204,16 +217,28 @@ class Index:
                     out[d, item] = max(out.get((d, item), (0, 0, 0)), (score, q, r))
         return [(d, i, *s) for (d, i), s in out.items()]
 
+    def _promising(self, window: np.ndarray, term: np.ndarray) -> Iterator[int]:
+        """The windows (ascending) in which the block maxima of the needed terms reach what some block needs."""
+        at = kernel.runs(window)
+        n = self.block_at[term + 1] - self.block_at[term]
+        entries = np.concatenate(([0], np.cumsum(n)))
+        lo, step = 0, max(1, CELLS // self.blocks)
+        while lo < len(at) - 1:
+            hi = min(lo + step, len(at) - 1)
+            hi = max(lo + 1, min(hi, int(np.searchsorted(entries[at], entries[at[lo]] + CELLS, "right")) - 1))
+            part = slice(at[lo], at[hi])
+            i, m = self._maxima(term[part])
+            row = np.repeat(np.arange(hi - lo), np.add.reduceat(m, at[lo:hi] - at[lo]))
+            sums = np.bincount(row * self.blocks + self.block_no[i], self.block_max[i], minlength=(hi - lo) * self.blocks)
+            for r in np.flatnonzero((sums.reshape(-1, self.blocks) >= self.need).any(1)):
+                yield int(window[at[lo + r]])
+            lo = hi
+
     def _maxima(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the block maxima of some terms are, and how many each has."""
         a, n = self.block_at[terms], self.block_at[terms + 1] - self.block_at[terms]
         return np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()), n
 
-    def _most(self, terms: np.ndarray) -> float:
-        """The largest sum of block maxima of a block."""
-        i, _ = self._maxima(terms)
-        return float(np.bincount(self.block_no[i], self.block_max[i]).max())
-
 
 def tokens_of(texts: list[str | None]) -> list[np.ndarray]:
     return [w.hash[a:b] for w in kernel.words(texts) for a, b in zip(w.first, w.first[1:])]
@@ -242,8 +267,8 @@ def build(items: list[tuple], df: dict[int, int] | None = None, total: int | Non
 def indexes(items: DataFrame, per_index: int = ITEMS_PER_INDEX) -> Iterator[list[Index]]:
     """One list of indexes for each shard of ``items(item_id, text)``."""
     items = items.where("text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    n = items.count()
-    if n <= per_index:
+    n, text_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if n <= per_index and text_bytes <= INDEX_BYTES:
         yield build([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()])
         return
 
@@ -261,7 +286,7 @@ def indexes(items: DataFrame, per_index: int = ITEMS_PER_INDEX) -> Iterator[list
 
     counted = items.select("text").mapInArrow(count, "h bigint, items bigint, size bigint")
     total, size = counted.agg(F.sum("items"), F.sum("size")).first()
-    shards = -(-n // per_index)
+    shards = max(-(-n // per_index), -(-text_bytes // INDEX_BYTES))
     by = items.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)))
     for k in range(shards):
         rows = by.where(F.col("shard") == k).orderBy("item_id", "text").collect()

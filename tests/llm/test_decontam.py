@@ -91,3 +91,18 @@ def test_edges_of_the_input(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
     assert decontam.hits(df, b.limit(0)).count() == 0 == decontam.hits(df.limit(0), b).count()
     assert decontam.clean(df, b.limit(0)).count() == 7
+
+
+def test_runs_of_passages_of_any_size_find_the_same(monkeypatch):
+    rng = random.Random(9)
+    pairs = [(i, corpus.text(rng, "en", rng.randint(5, 50))) for i in range(400)]
+    docs, truth = documents(rng, pairs)
+    found = []
+    for cells in (1 << 19, 300):
+        monkeypatch.setattr(decontam, "CELLS", cells)
+        got = set()
+        for index in decontam.build(pairs):
+            for w in decontam.kernel.words([t for _, t, *_ in docs]):
+                got |= {(w.lo + d, index.ids[i], round(s, 9)) for d, i, s, _, _ in index.search(w)}
+        found.append(got)
+    assert found[0] == found[1] and {x[:2] for x in found[0]} >= truth
