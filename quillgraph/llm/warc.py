@@ -1,24 +1,32 @@
 """Deterministic sharded WARC writer.
 
 Records are sorted by URL, id and content. Shards are ranges of that order,
-about ``SHARD_BYTES`` of content each; their bounds come from a sample that a
-hash of the record chooses, so they depend on the records and not on how the
-input is partitioned. A shard is one task: it writes one gzip member for each
-record and rolls to the next file when the compressed size would pass
-``FILE_BYTES``. Headers are made anew: record ids are name-based UUIDs of the
-content, digests are SHA-1, the date is a parameter, so equal inputs give
-equal bytes.
+about ``SHARD_BYTES`` of content each, at any size of the input. Their bounds
+are every so many bytes of a sorted sample that a hash of the record chooses,
+so they depend on the records and not on how the input is partitioned; sample
+and running sums stay distributed, and only the bounds (one key of a hundred
+bytes or so for each shard) come to the driver and go to the tasks. Shard n is
+partition n, written by one task: one gzip member for each record, rolling to
+the next file when the compressed size would pass ``FILE_BYTES``. Headers are
+made anew: record ids are name-based UUIDs of the content and of the record's
+place among equal ones, digests are SHA-1, the date is a parameter, so equal
+inputs give equal bytes.
+
+Records that are equal in all columns can't be told apart, so however many
+there are no bound parts them. If they are more than a shard, they are counted
+instead of moved, and written by shards of their own, each of a share of them.
 
 Files are written under a name of the attempt in ``_temporary`` and renamed
-when complete; a repeated task renames the same bytes to the same name. When
-all tasks are done the manifest is written in the same way and renamed last.
-A reader takes the files of the manifest only, so output without a manifest
-is not there.
+when complete; a repeated task finds the name taken by the same bytes, and
+drops its own. When all tasks are done the manifest is written in the same way
+and renamed last. A reader takes the files of the manifest only, so output
+without a manifest is not there.
 
 Defined results: a null URL has no target header and sorts first; a null
 page is an empty one; a null id has no id header; repeated rows are written
-once each; CR, LF and blanks of URLs are percent-encoded. An empty table gives
-a manifest without files. Extra columns are ignored.
+once each, with record ids of their own; CR, LF and blanks of URLs are
+percent-encoded. An empty table gives a manifest without files. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +45,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut
 
-#: Bytes of content in a shard, most shards (beyond which they grow), compressed bytes of a file, sampled records of a shard.
-SHARD_BYTES, SHARDS, FILE_BYTES, SAMPLED = 32 << 20, 20_000, 8 << 20, 32
+#: Bytes of content in a shard, compressed bytes of a file, sampled records of a shard.
+SHARD_BYTES, FILE_BYTES, SAMPLED = 32 << 20, 8 << 20, 64
 DATE = "2000-01-01T00:00:00Z"
 
 INDEX = "page_id bigint, url string, file string, offset bigint, length bigint, payload_bytes bigint, digest string"
@@ -58,11 +66,11 @@ def encoded(url: str) -> str:
     return "".join(c if c not in "\r\n\t " else f"%{ord(c):02X}" for c in url)
 
 
-def record(page_id: int | None, url: str | None, html: str | None, date: str = DATE) -> tuple[bytes, int, str]:
-    """A record, the bytes of its payload, and the payload's digest."""
+def record(page_id: int | None, url: str | None, html: str | None, date: str = DATE, place: int = 0) -> tuple[bytes, int, str]:
+    """A record, the bytes of its payload, and the payload's digest; ``place`` is its number among equal records."""
     body = (html or "").encode("utf-8", "replace")
     digest = sha1(body)
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{digest}")
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{digest}" + (f"|{place}" if place else ""))
     head = [
         "WARC/1.1",
         "WARC-Type: resource",
@@ -93,21 +101,41 @@ def info(file: str, date: str = DATE) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def bounds(keyed: DataFrame, shard_bytes: int, most: int) -> list[tuple]:
-    """Upper keys of all shards but the last."""
+def key(url: str | None, page_id: int | None, digest: str) -> bytes:
+    """Bytes that sort as the records do."""
+    return (url or "").encode("utf-8", "replace") + b"\0" + (0 if page_id is None else page_id + (1 << 63)).to_bytes(8) + digest.encode()
+
+
+def bounds(keyed: DataFrame, shard_bytes: int) -> list[bytes]:
+    """Upper keys of all shards but the last: of each run of ``shard_bytes`` in the sorted sample, by prefix sums over its partitions."""
     total, n = keyed.agg(F.sum("size"), F.count("*")).first()
-    shards = min(most, -(-(total or 0) // shard_bytes))
+    shards = -(-(total or 0) // shard_bytes)
     if shards <= 1:
         return []
     every = max(1, n // (shards * SAMPLED))
-    sample = keyed.where(F.pmod("pick", F.lit(every)) == 0).select("url", "page_id", "digest", "size").collect()
-    rows = sorted((r.url or "", r.page_id if r.page_id is not None else -(1 << 63), r.digest, r.size) for r in sample)
-    step, done, out = sum(r[3] for r in rows) / shards, 0, []
-    for r in rows:
-        done += r[3]
-        if done >= step * (len(out) + 1) and len(out) < shards - 1 and (not out or r[:3] > out[-1]):
-            out.append(r[:3])
-    return out
+    sample = keyed.where(F.pmod("pick", F.lit(every)) == 0).select(F.coalesce("url", F.lit("")).alias("u"), "page_id", "digest", "size")
+    sample = cut(sample.orderBy("u", "page_id", "digest").withColumn("part", F.spark_partition_id()))
+    sums = {r.part: r.s for r in sample.groupBy("part").agg(F.sum("size").alias("s")).collect()}
+    before, done = {}, 0
+    for part in sorted(sums):
+        before[part] = done
+        done += sums[part]
+    step = done / shards
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[int, int] = {}
+        for b in batches:
+            out = []
+            for u, i, d, size, part in zip(*[c.to_pylist() for c in b.columns]):
+                old = at.get(part, before[part])
+                at[part] = old + size
+                if int((old + size) / step) > int(old / step) and old + size < done:
+                    out.append(key(u, i, d))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["k"])
+
+    # each part was sorted when it was written; sorting it again makes the sums independent of how its file is read
+    placed = sample.select("u", "page_id", "digest", "size", "part").repartition("part").sortWithinPartitions("part", "u", "page_id", "digest")
+    return sorted({bytes(r.k) for r in placed.mapInArrow(pick, "k binary").collect()})
 
 
 def write(
@@ -116,7 +144,6 @@ def write(
     shard_bytes: int = SHARD_BYTES,
     file_bytes: int = FILE_BYTES,
     date: str = DATE,
-    most_shards: int = SHARDS,
 ) -> DataFrame:
     """Write ``pages(page_id, url, html)`` to the folder ``path``; the index, one row for each record."""
     spark = pages.sparkSession
@@ -125,15 +152,36 @@ def write(
     keyed = records.select(
         "url", "page_id", digest.alias("digest"), (F.octet_length(F.coalesce("html", F.lit(""))) + 500).cast("bigint").alias("size")
     ).withColumn("pick", F.xxhash64("url", "page_id", "digest"))
-    upper = bounds(keyed, shard_bytes, most_shards)
+    # of equal records that fill a shard there are no more kinds than shards
+    alike = keyed.groupBy("url", "page_id", "digest").agg(F.count("*").alias("copies"), F.max("size").alias("size"))
+    heavy = [(r.url, r.page_id, r.digest, r.copies, r.size) for r in alike.where(F.col("copies") * F.col("size") > 2 * shard_bytes).collect()]
+    if heavy:
+        gone = spark.createDataFrame(heavy, "url string, page_id bigint, digest string, copies bigint, size bigint")
+        same = lambda a: F.col(f"g.{a}").eqNullSafe(F.col(f"k.{a}"))
+        keyed = keyed.alias("k").join(F.broadcast(gone.alias("g")), same("digest") & same("url") & same("page_id"), "left_anti")
+    upper = bounds(keyed, shard_bytes)
+    extra = {(u, i, d): (n, max(1, shard_bytes // size)) for u, i, d, n, size in heavy}
+    first_extra, at = {}, len(upper) + 1
+    for k in sorted(extra, key=lambda k: key(*k)):
+        first_extra[k] = at
+        at += -(-extra[k][0] // extra[k][1])
+    shards = at
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in batches:
-            shard = [
-                bisect.bisect_left(upper, (u or "", i if i is not None else -(1 << 63), d))
-                for u, i, d in zip(*[b.column(c).to_pylist() for c in ("url", "page_id", "digest")])
-            ]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int32())], names=[*b.schema.names, "shard"])
+            keep, shard, low, high = [], [], [], []
+            for row, k in enumerate(zip(*[b.column(c).to_pylist() for c in ("url", "page_id", "digest")])):
+                if k not in extra:
+                    keep.append(row), shard.append(bisect.bisect_left(upper, key(*k))), low.append(0), high.append(0)
+                elif k not in seen:  # each task sends one row for each of the shards; the writer takes the first
+                    seen.add(k)
+                    n, each = extra[k]
+                    for j, lo in enumerate(range(0, n, each)):
+                        keep.append(row), shard.append(first_extra[k] + j), low.append(lo), high.append(min(n, lo + each))
+            columns = [b.column(c).take(pa.array(keep, pa.int64())) for c in ("page_id", "url", "html", "digest")]
+            columns += [pa.array(shard, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "html", "digest", "shard", "low", "high"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(path)
@@ -153,33 +201,39 @@ def write(
                 with system.open_output_stream(f"{attempt}/{name}", compression=None) as out:
                     for data in held:
                         out.write(data)
-                system.move(f"{attempt}/{name}", f"{root}/{name}")
+                rename(system, f"{attempt}/{name}", f"{root}/{name}")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
             rows, held, size = [], [], 0
             number += 1
 
+        last, again = None, 0
         for b in batches:
-            for shard, url, page_id, html in zip(*[b.column(c).to_pylist() for c in ("shard", "url", "page_id", "html")]):
+            for shard, url, page_id, html, digest, low, high in zip(*[b.column(c).to_pylist() for c in ("shard", "url", "page_id", "html", "digest", "low", "high")]):
                 if shard != now:
                     yield from close()
-                    now, number = shard, 0
-                data, payload, digest = record(page_id, url, html, date)
-                data = member(data)
-                if rows and size + len(data) > file_bytes:
-                    yield from close()
-                file = f"part-{shard:06d}-{number:05d}.warc.gz"
-                if not rows:
-                    held, size = [member(info(file, date))], 0
-                    size = len(held[0])
-                rows.append((page_id, url, file, size, len(data), payload, digest))
-                held.append(data)
-                size += len(data)
+                    now, number, last = shard, 0, None
+                same = (url, page_id, digest) == last
+                if high and same:
+                    continue
+                last, again = (url, page_id, digest), again + 1 if same else 0
+                for count in range(low, high) if high else (again,):
+                    data, payload, sha = record(page_id, url, html, date, count)
+                    data = member(data)
+                    if rows and size + len(data) > file_bytes:
+                        yield from close()
+                    file = f"part-{shard:06d}-{number:05d}.warc.gz"
+                    if not rows:
+                        held = [member(info(file, date))]
+                        size = len(held[0])
+                    rows.append((page_id, url, file, size, len(data), payload, sha))
+                    held.append(data)
+                    size += len(data)
         yield from close()
         if system.get_file_info(attempt).type != fs.FileType.NotFound:
             system.delete_dir(attempt)
 
-    placed = records.withColumn("digest", digest).mapInArrow(place, "page_id bigint, url string, html string, digest string, shard int")
-    ranged = placed.repartition(max(1, len(upper) + 1), "shard").sortWithinPartitions("shard", F.coalesce("url", F.lit("")), "page_id", "digest")
+    placed = records.withColumn("digest", digest).mapInArrow(place, "page_id bigint, url string, html string, digest string, shard int, low bigint, high bigint")
+    ranged = placed.repartitionById(shards, "shard").sortWithinPartitions("shard", F.coalesce("url", F.lit("")), "page_id", "digest", "url")
     fs_root(spark, path, True)
     index = cut(ranged.mapInArrow(save, INDEX))
     manifest = index.groupBy("file").agg(
@@ -191,6 +245,19 @@ def write(
     return index
 
 
+def rename(system, source: str, target: str) -> None:
+    """Give a complete file its name, unless another attempt has done so with the same bytes."""
+    taken = lambda: system.get_file_info(target).type != fs.FileType.NotFound
+    if not taken():
+        try:
+            system.move(source, target)
+            return
+        except OSError:  # some file systems refuse a name that another attempt took just now
+            if not taken():
+                raise
+    system.delete_file(source)
+
+
 def fs_root(spark: SparkSession, path: str, make: bool = False):
     """The Hadoop file system of a path and the path; raises if ``make`` and output is already there."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -40,6 +40,43 @@ def test_bytes_do_not_depend_on_partitions(spark, tmp_path):
     assert files(f"{tmp_path}/0") == files(f"{tmp_path}/1")
 
 
+def ids(path):
+    out = []
+    for data in files(path).values():
+        out += [line for line in gzip.decompress(data).decode("utf-8", "replace").split("\r\n") if line.startswith("WARC-Record-ID")]
+    return out
+
+
+def test_equal_records_of_any_number(spark, tmp_path):
+    """A third of all rows are one record: it fills shards of its own, whatever the partitions, and every copy has an id."""
+    data = pages(200) + [(7, "http://hot.example.com", "hot " * 100)] * 100 + [(8, "http://twice.example.com", "x")] * 2
+    df = spark.createDataFrame(data, SCHEMA)
+    for k, n in enumerate((1, 6)):
+        index = warc.write(df.repartition(n), f"file://{tmp_path}/{k}", shard_bytes=15_000, file_bytes=9_000).collect()
+        assert sorted((r.page_id, r.url, r.html) for r in warc.read(spark, f"file://{tmp_path}/{k}").collect()) == sorted(data)
+        assert len({r.file.split("-")[1] for r in index if r.page_id == 7 and "hot" in r.url}) > 3
+    assert files(f"{tmp_path}/0") == files(f"{tmp_path}/1")
+    found = ids(f"{tmp_path}/0")
+    assert len(found) == len(set(found)) == len(data) + len(files(f"{tmp_path}/0"))
+
+
+def test_shards_are_about_equal(spark, tmp_path):
+    index = warc.write(spark.createDataFrame(pages(3000), SCHEMA), f"file://{tmp_path}/b", shard_bytes=100_000).collect()
+    size = {}
+    for r in index:
+        shard = r.file.split("-")[1]
+        size[shard] = size.get(shard, 0) + r.payload_bytes + 500
+    assert len(size) >= 15 and max(size.values()) < 250_000
+
+
+def test_a_repeated_task_keeps_the_name(tmp_path):
+    system = warc.fs.LocalFileSystem()
+    for text in ("one", "one"):
+        (tmp_path / "a").write_text(text)
+        warc.rename(system, f"{tmp_path}/a", f"{tmp_path}/b")
+        assert not (tmp_path / "a").exists() and (tmp_path / "b").read_text() == "one"
+
+
 def test_edges_of_the_input(spark, tmp_path):
     rows = [(None, "u", "x"), (1, None, "y"), (2, "a b\r\nc", None), (3, "", ""), (4, "u", "z" * 3_000_000), (4, "u", "z" * 3_000_000)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("file", warc.F.lit(1)).withColumn("shard", warc.F.lit("s"))
