@@ -4,12 +4,16 @@ Nodes of the field are the tokens that hold a digit or an ``@``. Every other
 token is O by a hard potential; such a token separates the chain, so leaving
 it out changes no marginal, and what it says enters as a feature of its
 neighbours. Adjacent nodes share a transition potential. Each node is also
-linked with the next one of its document that repeats it (equal letters and
-digits) and with the next one that is similar (equal shape), wherever they
+linked with the first one of its document that it repeats (equal letters and
+digits), so that any clear mention is two links from all others however many
+there are, and with the last one that is similar (equal shape), wherever they
 are; these skip edges have potentials of their own, so that one clear mention
 decides the doubtful ones. Marginals come from loopy sum-product message
-passing over all documents of a slice at once; the same passing gives the
-expected counts of the gradient that the field is trained with.
+passing over all documents of a slice at once, until no message changes by
+more than ``TOLERANCE`` or ``ROUNDS`` are over; the same passing gives the
+expected counts of the gradient that the field is trained with. A message is
+one product of a matrix of beliefs with the potentials of its kind of edge. A
+slice is about ``SLICE_CHARS`` characters, or one document if it is longer.
 
 The training text is ``labelled_documents``, a seeded generator; ``DOCUMENTS``
 is the documented bound of that sample. ``fit`` takes any other.
@@ -33,8 +37,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Documents of the training sample, steps of the optimiser, rounds of message passing, and damping.
-DOCUMENTS, STEPS, ROUNDS, DAMPING, SEED = 700, 120, 8, 0.3, 11
+from . import kernel
+
+#: Documents of the training sample, steps of the optimiser, most rounds of message passing and the change that ends it, and damping.
+DOCUMENTS, STEPS, ROUNDS, TOLERANCE, DAMPING, SEED = 700, 120, 60, 1e-3, 0.3, 11
+SLICE_CHARS = 1 << 17
 
 KINDS = ("EMAIL", "PHONE", "CARD", "IP", "ID")
 LABELS = ("O", *[f"{b}-{k}" for k in KINDS for b in "BI"])
@@ -128,10 +135,12 @@ def nodes(texts: list[str | None]) -> Nodes:
             if before is not None:
                 out.edges[0].append((base + i - 1, base + i))
             same = _KEEP.sub("", v.lower())
-            for kind, key, table in ((1, same, seen[0]), (2, (_shape(v), before is None, after is None), seen[1])):
-                if key in table and not (kind == 2 and seen[0].get(same) == table[key]):
-                    out.edges[kind].append((table[key], base + i))
-            seen[0][same] = seen[1][_shape(v), before is None, after is None] = base + i
+            shape = (_shape(v), before is None, after is None)
+            if (first := seen[0].setdefault(same, base + i)) != base + i:
+                out.edges[1].append((first, base + i))
+            elif shape in seen[1]:
+                out.edges[2].append((seen[1][shape], base + i))
+            seen[1][shape] = base + i
         out.spans += spans
     return out
 
@@ -147,38 +156,51 @@ class Field:
         at = np.concatenate(([0], np.cumsum([len(f) for f in feats])[:-1]))
         return np.add.reduceat(self.unary[np.concatenate(feats)], at, axis=0)
 
-    def marginals(self, g: Nodes, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Marginals of nodes; sources, targets and kinds of the edges; marginals of edges follow from ``edge_marginals``."""
+    def marginals(self, g: Nodes, rounds: int = ROUNDS, tolerance: float = 1e-7) -> tuple[np.ndarray, list[tuple]]:
+        """Marginals of nodes, and for each kind of edge its sources and targets with their beliefs less the edge's own message."""
         theta = self.potentials(g.feats)
-        kind = np.repeat(np.arange(3), [len(e) for e in g.edges])
-        pairs = np.array([p for e in g.edges for p in e], np.int64).reshape(-1, 2)
-        a, b = pairs[:, 0], pairs[:, 1]
-        psi = self.pair[kind]
-        right, left = np.zeros((len(a), _L)), np.zeros((len(a), _L))  # log messages a to b, and b to a
-        belief = theta.copy()
+        ends = [np.array(e, np.int64).reshape(-1, 2) for e in g.edges]
+        a, b = (np.concatenate([e[:, c] for e in ends]) for c in (0, 1))
+        kinds = [slice(x, y) for x, y in zip(*(lambda n: (n[:-1], n[1:]))(np.concatenate(([0], np.cumsum([len(e) for e in ends])))))]
+        right, left = (np.zeros((len(a), _L), theta.dtype) for _ in range(2))  # log messages a to b, and b to a
+        belief = theta
         for _ in range(rounds if len(a) else 0):
-            new_right = _logsum(psi + (belief[a] - left)[:, :, None], 1)
-            new_left = _logsum(psi + (belief[b] - right)[:, None, :], 2)
-            for new in (new_right, new_left):
-                new -= new.max(1, keepdims=True)
-            right = DAMPING * right + (1 - DAMPING) * new_right
-            left = DAMPING * left + (1 - DAMPING) * new_left
-            belief = theta.copy()
-            np.add.at(belief, b, right)
-            np.add.at(belief, a, left)
-        self._last = (a, b, kind, belief[a] - left, belief[b] - right, psi)
-        return _softmax(belief), a, b, kind
-
-    def edge_marginals(self) -> np.ndarray:
-        a, b, kind, at_a, at_b, psi = self._last
-        joint = psi + at_a[:, :, None] + at_b[:, None, :]
+            change = 0.0
+            at_a, at_b = belief[a] - left, belief[b] - right
+            for k, e in enumerate(kinds):
+                for old, at, psi in ((right, at_a, self.pair[k]), (left, at_b, self.pair[k].T)):
+                    new = _through(at[e], psi.astype(theta.dtype))
+                    step = (1 - DAMPING) * (new - old[e])
+                    change = max(change, float(np.abs(step).max(initial=0)))
+                    old[e] += step
+            belief = theta + _sums(b, right, len(theta)) + _sums(a, left, len(theta))
+            if change < tolerance:
+                break
+        at_a, at_b = belief[a] - left, belief[b] - right
+        return _softmax(belief), [(a[e], b[e], at_a[e], at_b[e]) for e in kinds]
+
+    def edge_marginals(self, kind: int, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+        joint = self.pair[kind] + at_a[:, :, None] + at_b[:, None, :]
         joint = np.exp(joint - joint.max((1, 2), keepdims=True))
         return joint / joint.sum((1, 2), keepdims=True)
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
+def _through(at: np.ndarray, psi: np.ndarray) -> np.ndarray:
+    """Log messages through an edge from the log beliefs at one end, with a greatest value of 0."""
+    top = psi.max()
+    out = np.log(np.maximum(np.exp(at - at.max(1, keepdims=True)) @ np.exp(psi - top), 1e-30)) if len(at) else at
+    return out - out.max(1, keepdims=True) if len(at) else out
+
+
+def _sums(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` for each of ``n`` nodes."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(of):
+        order = np.argsort(of, kind="stable")
+        s = of[order]
+        at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        out[s[at]] = np.add.reduceat(values[order], at, axis=0)
+    return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -208,11 +230,12 @@ def fit(documents: list[tuple[str, list[tuple[int, int, str]]]], steps: int = ST
     m = [np.zeros_like(field.unary), np.zeros_like(field.pair)]
     v = [np.zeros_like(field.unary), np.zeros_like(field.pair)]
     for step in range(1, steps + 1):
-        p, a, b, kind = field.marginals(g, 4)
+        p, ends = field.marginals(g, 4)
         expected = np.zeros((ROWS, _L))
         np.add.at(expected, row, p[of])
         pair = np.zeros((3, _L, _L))
-        np.add.at(pair, kind, truth[a][:, :, None] * truth[b][:, None, :] - field.edge_marginals())
+        for k, (a, b, at_a, at_b) in enumerate(ends):
+            pair[k] = (truth[a][:, :, None] * truth[b][:, None, :] - field.edge_marginals(k, at_a, at_b)).sum(0)
         for i, (w, grad) in enumerate(((field.unary, observed - expected), (field.pair, pair))):
             grad = grad / len(documents) - ridge * w
             m[i] = 0.9 * m[i] + 0.1 * grad
@@ -300,7 +323,7 @@ def find(texts: list[str | None], model: Field) -> list[tuple[int, int, int, str
     g = nodes(texts)
     if not g.spans:
         return []
-    p = model.marginals(g)[0]
+    p = model.marginals(g, tolerance=TOLERANCE)[0]
     best = p.argmax(1)
     joined = {b for _, b in g.edges[0]}
     out: list[list] = []
@@ -319,7 +342,7 @@ def find(texts: list[str | None], model: Field) -> list[tuple[int, int, int, str
 def entities(docs: DataFrame, model: Field | None = None) -> DataFrame:
     """``doc_id, start, end, kind, score`` of each piece of personal data."""
     model = field() if model is None else model
-    unary, pair = model.unary.astype(np.float32), model.pair
+    unary, pair = model.unary.astype(np.float32), model.pair.astype(np.float32)
     names = ["doc_id", "start", "end", "kind", "score"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
 
@@ -327,7 +350,7 @@ def entities(docs: DataFrame, model: Field | None = None) -> DataFrame:
         mine = Field(unary, pair)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(ids[lo + d], *x) for lo in range(0, len(texts), 512) for d, *x in find(texts[lo : lo + 512], mine)]
+            rows = [(ids[lo + d], *x) for lo, hi in kernel.slices(texts, SLICE_CHARS) for d, *x in find(texts[lo:hi], mine)]
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 

@@ -31,6 +31,27 @@ def test_repeats_and_similar_tokens_are_linked():
     assert g.edges[1] == [(0, 1)] and g.edges[2] == [(1, 2)] and g.edges[0] == []
 
 
+def test_one_clear_mention_among_fifty_decides_all():
+    """The clear one comes last; the others are bare numbers far from each other."""
+    bare = " ".join("555-123-4567 " + "st er " * 20 for _ in range(50))
+    alone = pii.find([bare], pii.field())
+    found = pii.find([bare + " tel 555-123-4567"], pii.field())
+    assert [k for *_, k, _ in found] == ["PHONE"] * 51
+    assert not alone or min(p for *_, p in found) >= min(p for *_, p in alone)
+
+
+def test_beliefs_on_a_loop_settle_near_the_exact_marginals():
+    rng = np.random.default_rng(5)
+    f = pii.Field(rng.normal(size=(pii.ROWS, pii._L)), 0.3 * rng.normal(size=(3, pii._L, pii._L)))
+    g = pii.Nodes([0] * 3, [(i, i + 1) for i in range(3)], [[i] for i in range(3)], [[(0, 1), (1, 2)], [(0, 2)], []])
+    theta, want = f.potentials(g.feats), np.zeros((3, pii._L))
+    for y in itertools.product(range(pii._L), repeat=3):
+        w = np.exp(sum(theta[i, y[i]] for i in range(3)) + f.pair[0][y[0], y[1]] + f.pair[0][y[1], y[2]] + f.pair[1][y[0], y[2]])
+        for i in range(3):
+            want[i, y[i]] += w
+    assert np.abs(f.marginals(g)[0] - want / want.sum(1, keepdims=True)).max() < 0.02
+
+
 def test_skip_edges_carry_a_clear_mention():
     m = pii.Field(pii.field().unary.copy(), pii.field().pair.copy())
     text = "tel 555-123-4567 er " + "st " * 500 + " 555-123-4567"
