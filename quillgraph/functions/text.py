@@ -15,14 +15,18 @@ STOP = (
     " that the their them these they they'd they'll they're they've this those to was were what which who whom whose will with would"
 ).split()
 QUERY_STOP = "a about an and are at but by find for from how in is me of on or show tell the to was were what when where who why with".split()
+TERM_STOP = (
+    "a about an and are as at be been but by can could did do does for from had has have how in is may me might must of on or should tell the to was"
+    " were what when where which who why will with would"
+).split()
 _MONTHS = "january february march april may june july august september october november december".split()
 _M = "|".join(m.capitalize() for m in _MONTHS)
 
-#: Patterns of each entity type for SQL, with bounded groups; case does not matter in any of them. Extraction puts UNBOUNDED in their place.
+#: Patterns of each entity type; case does not matter in any of them. They and the lists above are constants of the format. Extraction puts UNBOUNDED in the place of some.
 PATTERNS: dict[str, list[str]] = {
     "DATE": [r"\b\d{4}\b", rf"\b(?:{_M})\s+\d{{1,2}},?\s+\d{{4}}\b", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", r"\bq[1-4]\s+\d{4}\b", r"\b(?:fiscal year|fy)\s*\d{4}\b"],
-    "ORG": [r"\b[a-z]{2,}(?:\s+[a-z]{2,}){0,8}\s+(?:llc|ltd|limited|inc|corporation|corp|company)\b", r"\b(?:the\s+)?[a-z]{2,}\s+(?:institute|foundation|association|group|bank)\b"],
-    "MONEY": [r"\$\s*\d+(?:,\d{3}){0,40}(?:\.\d{2})?(?:\s*(?:trillion|billion|million|t|b|m))?\b", r"\b\d+(?:,\d{3}){0,40}(?:\.\d{2})?\s*(?:rupees|inr|usd|dollars)\b"],
+    "ORG": [r"\b[a-z]{2,}(?:\s+[a-z]{2,})*\s+(?:llc|ltd|limited|inc|corporation|corp|company)\b", r"\b(?:the\s+)?[a-z]{2,}\s+(?:institute|foundation|association|group|bank)\b"],
+    "MONEY": [r"\$\s*\d+(?:,\d{3})*(?:\.\d{2})?(?:\s*(?:trillion|billion|million|t|b|m))?\b", r"\b\d+(?:,\d{3})*(?:\.\d{2})?\s*(?:rupees|inr|usd|dollars)\b"],
     "PERCENT": [r"\b\d+(?:\.\d+)?%\b", r"\b\d+(?:\.\d+)?\s*percent\b"],
 }
 CAPITALISED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}\b"

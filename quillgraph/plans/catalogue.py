@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import chunk, text as T
-from ..operators import dedup, graph, ppr, retrieval
-from ..session import table
-from ..sources import json
+from ..operators import dedup, evaluate, graph, ppr, query as Q, retrieval, vectors, weights
+from ..session import cut, table
+from ..sources import cache, json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,12 +34,8 @@ def _graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGES = "SELECT DISTINCT l_orderkey AS passage_id, l_partkey AS concept_id FROM lineitem"
-#: Non-ASCII characters become word characters, so that word boundaries mean the same in both engines.
-def _masked():
-    return F.regexp_replace("text", "[^\\x00-\\x7F]", "_")
-
-
-_MASK = "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')"
+#: Letters and digits beyond ASCII become an ASCII word character, since DuckDB's word boundaries know no others. The queries read the texts as they are.
+_MASK = "regexp_replace(text, '[^\\x00-\\x7F\\pP\\pS\\pZ\\pC\\pM]', '_', 'g')"
 
 
 def _counted(docs: DataFrame, found, name: str) -> DataFrame:
@@ -61,7 +57,7 @@ _STOP_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP) +
     WHERE len(list_filter(regexp_split_to_array(lower(phrase), '\\s+'), lambda w: NOT list_contains({_STOP_LIST}, w))) > 0 GROUP BY 1""",
 )
 def extract_capitalized(spark, sf_dir):
-    return _counted(table(spark, sf_dir, "documents"), T.capitalised(_masked()), "phrase")
+    return _counted(table(spark, sf_dir, "documents"), T.capitalised(F.col("text")), "phrase")
 
 
 @query(
@@ -73,33 +69,61 @@ def extract_capitalized(spark, sf_dir):
     ),
 )
 def extract_patterns(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(_masked().alias("text"))
+    docs = table(spark, sf_dir, "documents").select("text")
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), T.pattern_entities(F.col("text"), k).alias("found")) for k in T.PATTERNS])
     return docs.select(F.inline(kinds)).select("kind", F.explode("found").alias("entity")).groupBy("kind", "entity").agg(F.count("*").alias("n"))
 
 
-@query(
-    "concept_frequency_band",
-    f"""WITH m AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all({_MASK}, '{T.LONG_WORD}'), lambda w: lower(w)))) AS concept FROM documents)
-    SELECT concept, count(*) AS n FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM documents)""",
-)
+def _distinct(*parts: str) -> str:
+    return f"list_distinct(list_concat({', '.join(parts)}))"
+
+
+def _all(pattern: str, options: str = "", text: str = "t") -> str:
+    return f"regexp_extract_all({text}, '{options}{pattern}')"
+
+
+_CAPITAL_SQL = f"list_filter({_all(T.CAPITALISED)}, lambda p: len(list_filter(regexp_split_to_array(lower(p), '\\s+'), lambda w: NOT list_contains({_STOP_LIST}, w))) > 0)"
+_ENTITY_SQL = _distinct(*[f"list_filter({_all(p, '(?i)')}, lambda e: length(e) > 1)" for ps in T.PATTERNS.values() for p in ps], _CAPITAL_SQL)
+_SEVERAL = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+_CONCEPT_SQL = f"list_filter({_distinct(_all(_SEVERAL), _all(T.TECHNICAL), f'list_filter(list_transform({_all(T.LONG_WORD)}, lambda w: lower(w)), lambda w: NOT list_contains({_STOP_LIST}, w))')}, lambda c: length(c) > 3)"
+_NORMAL = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+#: Mention rows of the documents, and the concepts that a graph of them has.
+_MENTIONS = f"""t AS (SELECT doc_id AS passage_id, {_MASK} AS t FROM documents),
+    s AS (SELECT passage_id, 0 AS kind, unnest({_ENTITY_SQL}) AS surface FROM t UNION ALL SELECT passage_id, 1, unnest({_CONCEPT_SQL}) FROM t),
+    m AS (SELECT passage_id, kind, surface, {_NORMAL.format("surface")} AS concept_id FROM s),
+    c AS (SELECT concept_id, count(*) AS n, count(DISTINCT passage_id) AS frequency FROM m WHERE concept_id <> '' GROUP BY 1
+    HAVING count(*) BETWEEN 2 AND (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM documents))"""
+_QUERY_ENTITIES = f"""qt AS (SELECT item_id AS query_id, {_MASK} AS t FROM benchmark),
+    qe AS (SELECT DISTINCT query_id, {_NORMAL.format("e")} AS entity FROM (SELECT query_id, unnest({_distinct(_ENTITY_SQL, "list_filter(" + _all("\\b[a-zA-Z]+\\b") + ", lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.QUERY_STOP) + "], lower(w)))")}) AS e FROM qt))"""
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("content"), F.col("doc_id").alias("chunk_index"))
+
+
+@query("concept_frequency_band", f"WITH {_MENTIONS} SELECT concept_id, n FROM c")
 def concept_frequency_band(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    most = docs.agg(F.floor(F.count("*") * 0.5).alias("most"))
-    words = F.array_distinct(F.transform(T.matches(_masked(), T.LONG_WORD), F.lower))
-    return _counted(docs, words, "concept").crossJoin(most).where("n BETWEEN 2 AND most").select("concept", "n")
+    """Mention rows of all entities and concepts of the documents, within the band of the graph."""
+    docs = _passages(spark, sf_dir)
+    return graph.band(graph.mentions(docs), docs.count()).select("concept_id", "n")
+
 
+@query("graph_documents", f"WITH {_MENTIONS} SELECT concept_id, frequency, md5(string_agg(CAST(passage_id AS VARCHAR), ',' ORDER BY passage_id)) AS passages FROM (SELECT DISTINCT concept_id, passage_id, frequency FROM m JOIN c USING (concept_id)) GROUP BY ALL")
+def graph_documents(spark, sf_dir):
+    """Concepts of the documents' graph, with a digest of the passages that each is linked with."""
+    g = _documents_graph(spark, sf_dir)
+    ids = F.transform(F.array_sort(F.collect_list("passage_id")), lambda x: x.cast("string"))
+    return g.edges.groupBy("concept_id").agg(F.md5(F.array_join(ids, ",")).alias("passages")).join(g.concepts, "concept_id").select("concept_id", "frequency", "passages")
 
-@query("query_keywords", f"""WITH m AS (SELECT item_id, unnest(list_distinct(regexp_extract_all({_MASK}, '\\b[a-zA-Z]+\\b'))) AS keyword FROM benchmark)
-    SELECT item_id, keyword FROM m WHERE length(keyword) > 2 AND lower(keyword) NOT IN ({", ".join(f"'{w}'" for w in T.QUERY_STOP)})""")
+
+@query("query_keywords", f"WITH {_QUERY_ENTITIES} SELECT query_id, entity FROM qe WHERE entity <> ''")
 def query_keywords(spark, sf_dir):
-    found = F.array_distinct(F.filter(T.matches(_masked(), r"\b[a-zA-Z]+\b"), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(T.QUERY_STOP)))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(found).alias("keyword"))
+    return retrieval.query_entities(_benchmark_queries(spark, sf_dir))
 
 
 @query("graph_concepts", f"SELECT concept_id, count(*) AS frequency FROM ({_EDGES}) GROUP BY 1")
 def graph_concepts(spark, sf_dir):
-    return _graph_edges(spark, sf_dir).groupBy("concept_id").agg(F.count("*").alias("frequency"))
+    return graph.degrees(_graph_edges(spark, sf_dir)).where("side = 'concept'").select(F.col("node").cast("bigint").alias("concept_id"), F.col("degree").alias("frequency"))
 
 
 @query(
@@ -159,13 +183,18 @@ def entity_type_heuristic(spark, sf_dir):
     return names.select("entity", T.entity_type(F.col("entity")).alias("kind"))
 
 
-@query("semantic_topk", """WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS passage_id,
-    list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings p),
+_WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> ''))"
+
+
+@query("semantic_topk", f"""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, {_WORDS} AS n FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+    s AS (SELECT q.vec_id AS query_id, p.vec_id AS passage_id, list_cosine_similarity(q.v, p.v) * CASE WHEN p.n > 50 THEN least(1.1, 1 + (p.n - 50) / 500) ELSE 1 END AS s FROM p q, p),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, passage_id) AS rank, max(s) OVER (PARTITION BY query_id) AS best FROM s WHERE s >= 0.3)
     SELECT query_id, passage_id, round(s / best, 6) AS score, rank FROM r WHERE rank <= 5""")
 def semantic_topk(spark, sf_dir):
+    """The five passages nearest to each vector, longer documents of the same number raised."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    out = retrieval.semantic(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "passage_id"), 5)
+    rows = v.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content")), "vec_id", "left")
+    out = retrieval.semantic(v.withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "passage_id"), 5)
     return out.select("query_id", "passage_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -214,31 +243,34 @@ def merge_graphs(spark, sf_dir):
     return graph.merge(*[li.select("passage_id", "concept_id", F.col(c).alias("weight")) for c in ("l_discount", "l_tax")])
 
 
-#: Four queries, each of the parts of one size.
-_RESTART = "SELECT p_size AS query_id, p_partkey AS concept_id, 1.0 / count(*) OVER (PARTITION BY p_size) AS m FROM part WHERE p_size <= 4 AND p_partkey IN (SELECT l_partkey FROM lineitem)"
+#: A query for each size: its parts that the graph has.
+_RESTART = "SELECT p_size AS query_id, p_partkey AS concept_id, 1.0 / count(*) OVER (PARTITION BY p_size) AS m FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)"
 
 
 def _restart(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").where("p_size <= 4").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("concept_id"), F.lit(1.0).alias("weight"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("concept_id"), F.lit(1.0).alias("weight"))
     return parts.join(_graph_edges(spark, sf_dir).select("concept_id").distinct(), "concept_id", "left_semi")
 
 
-_RESTART_ALL = "SELECT p_size AS query_id, p_partkey AS concept_id, 1.0 / count(*) OVER (PARTITION BY p_size) AS m FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)"
-
-
-def _restart_all(spark, sf_dir):
-    """A query for each size: its parts that the graph has."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("concept_id"), F.lit(1.0).alias("weight"))
-    return parts.join(_graph_edges(spark, sf_dir).select("concept_id").distinct(), "concept_id", "left_semi")
+@query(
+    "restart_weights",
+    f"""WITH e AS ({_EDGES}), f AS (SELECT concept_id, count(*) AS frequency FROM e GROUP BY 1)
+    SELECT p_size AS query_id, p_partkey AS concept_id, round(0.5 * ln((SELECT count(DISTINCT passage_id) FROM e) / (frequency + 1)) / 10 + 0.25, 9) AS weight FROM part JOIN f ON concept_id = p_partkey""",
+)
+def restart_weights(spark, sf_dir):
+    edges = _graph_edges(spark, sf_dir)
+    concepts = edges.groupBy("concept_id").agg(F.count("*").alias("frequency"))
+    matched = table(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("concept_id"))
+    return ppr.restart(matched, concepts, edges.select("passage_id").distinct().count()).withColumn("weight", F.round("weight", 9))
 
 
 def _ppr_sql(n: int, alpha: float = 0.15, restart: str = _RESTART) -> str:
     """The series of the walk, one table for each step."""
-    steps = [f"e AS ({_EDGES}), dp AS (SELECT passage_id, count(*) AS d FROM e GROUP BY 1), dc AS (SELECT concept_id, count(*) AS d FROM e GROUP BY 1), v0 AS ({restart})"]
+    steps = [f"e AS MATERIALIZED ({_EDGES}), dp AS MATERIALIZED (SELECT passage_id, count(*) AS d FROM e GROUP BY 1), dc AS MATERIALIZED (SELECT concept_id, count(*) AS d FROM e GROUP BY 1), v0 AS ({restart})"]
     parts = []
     for k in range(1, n + 1):
         here, there, d = ("concept_id", "passage_id", "dc") if k % 2 else ("passage_id", "concept_id", "dp")
-        steps.append(f"v{k} AS (SELECT query_id, {there}, sum(m / d) AS m FROM v{k - 1} JOIN e USING ({here}) JOIN {d} USING ({here}) GROUP BY ALL)")
+        steps.append(f"v{k} AS MATERIALIZED (SELECT query_id, {there}, sum(m / d) AS m FROM v{k - 1} JOIN e USING ({here}) JOIN {d} USING ({here}) GROUP BY ALL)")
         if k % 2:
             parts.append(f"SELECT query_id, passage_id, m * {(1 - alpha) ** k * (1 if k == n else alpha)!r} AS s FROM v{k}")
     return f"WITH {', '.join(steps)} SELECT query_id, passage_id, sum(s) AS score FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
@@ -246,47 +278,48 @@ def _ppr_sql(n: int, alpha: float = 0.15, restart: str = _RESTART) -> str:
 
 @query("ppr_k_steps", f"SELECT query_id, passage_id, round(score, 9) AS score FROM ({_ppr_sql(4)})")
 def ppr_k_steps(spark, sf_dir):
-    got = ppr.ppr(_graph_edges(spark, sf_dir), _restart(spark, sf_dir), max_iter=4, kernel_edges=0)
+    """Four steps from every size, as joins."""
+    got = ppr.ppr(_graph_edges(spark, sf_dir), _restart(spark, sf_dir), max_iter=4, kernel_bytes=0)
     return got.withColumn("score", F.round("score", 9))
 
 
 @query(
     "ppr_topk",
-    f"SELECT query_id, passage_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, passage_id) AS rank FROM ({_ppr_sql(9)})) WHERE rank <= 10",
+    f"SELECT query_id, passage_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, passage_id) AS rank FROM ({_ppr_sql(ppr.steps(0.15, 1e-6, 100))})) WHERE rank <= 10",
 )
 def ppr_topk(spark, sf_dir):
-    got = ppr.ppr(_graph_edges(spark, sf_dir), _restart(spark, sf_dir), max_iter=9)
+    """The best ten orders of every size, walked until the change of a step is below the operator's tolerance."""
+    got = ppr.ppr(_graph_edges(spark, sf_dir), _restart(spark, sf_dir))
     return retrieval.top_k(got, 10).select("query_id", "passage_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("ppr_k_steps_all", f"SELECT query_id, passage_id, round(score, 9) AS score FROM ({_ppr_sql(4, restart=_RESTART_ALL)})")
-def ppr_k_steps_all(spark, sf_dir):
-    got = ppr.ppr(_graph_edges(spark, sf_dir), _restart_all(spark, sf_dir), max_iter=4, kernel_edges=0)
-    return got.withColumn("score", F.round("score", 9))
+@query("ppr_trace")
+def ppr_trace(spark, sf_dir):
+    """The best twelve nodes after each of the first steps of every size, and each step's change."""
+    got = ppr.trace(_graph_edges(spark, sf_dir), _restart(spark, sf_dir), max_iter=3)
+    return got.withColumns({c: F.round(c, 9) for c in ("diff", "score")})
 
 
-@query("ppr_topk_all")
-def ppr_topk_all(spark, sf_dir):
-    """All sizes, walked until the change of a step is below the operator's tolerance."""
-    got = ppr.ppr(_graph_edges(spark, sf_dir), _restart_all(spark, sf_dir))
-    return retrieval.top_k(got, 10).select("query_id", "passage_id", F.round("score", 6).alias("score"), "rank")
+def _sides(spark, sf_dir) -> list[DataFrame]:
+    e = table(spark, sf_dir, "events")
+    return [e.where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("query_id"), F.expr("event_id % 50").alias("passage_id")).agg(F.max("value").alias("score")) for kind in ("click", "view")]
 
 
 def _fused(method: str):
     def run(spark, sf_dir):
-        e = table(spark, sf_dir, "events")
-        side = lambda kind: e.where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("query_id"), F.expr("event_id % 50").alias("passage_id")).agg(F.max("value").alias("score"))
-        return retrieval.fuse(side("click"), side("view"), method).withColumn("score", F.round("score", 6))
+        return retrieval.fuse(*_sides(spark, sf_dir), method).withColumn("score", F.round("score", 6))
 
     return run
 
 
-for _method, _score in {"weighted_sum": "0.6 * p + 0.4 * s", "max": "greatest(p, s)", "harmonic_mean": "CASE WHEN p > 0 AND s > 0 THEN 2 * p * s / (p + s) ELSE 0.6 * p + 0.4 * s END"}.items():
-    _side = "SELECT user_id AS query_id, event_id % 50 AS passage_id, max(value) AS {1} FROM events WHERE event_type = '{0}' GROUP BY ALL"
+_SIDE = "SELECT user_id AS query_id, event_id % 50 AS passage_id, max(value) AS {1} FROM events WHERE event_type = '{0}' GROUP BY ALL HAVING max(value) >= {2}"
+_SIDES = f"a AS ({_SIDE.format('click', 'p', 1e-6)}), b AS ({_SIDE.format('view', 's', 0.3)})"
+for _method, _score in {
+    "weighted_sum": "0.6 * p + 0.4 * s", "max": "greatest(0.6 * p, 0.4 * s)", "harmonic_mean": "CASE WHEN p > 0 AND s > 0 THEN 2 * 0.6 * p * 0.4 * s / (0.6 * p + 0.4 * s) ELSE 0.6 * p + 0.4 * s END", "any_other": "0.6 * p + 0.4 * s",
+}.items():
     query(
         f"fuse_{_method}",
-        f"""WITH a AS ({_side.format("click", "p")}), b AS ({_side.format("view", "s")}),
-        f AS (SELECT query_id, passage_id, coalesce(p, 0) AS p, coalesce(s, 0) AS s FROM a FULL JOIN b USING (query_id, passage_id))
+        f"""WITH {_SIDES}, f AS (SELECT query_id, passage_id, coalesce(p, 0) AS p, coalesce(s, 0) AS s FROM a FULL JOIN b USING (query_id, passage_id))
         SELECT query_id, passage_id, p AS ppr_score, s AS semantic_score, round({_score}, 6) AS score FROM f""",
     )(_fused(_method))
 
@@ -318,15 +351,7 @@ def chunk_text(spark, sf_dir):
 
 
 def _documents_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("content"), F.col("doc_id").alias("chunk_index"))
-    return graph.build(docs)
-
-
-@query("concept_mention_band")
-def concept_mention_band(spark, sf_dir):
-    """Mention rows of all entities and concepts of the documents, within the band of the graph."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("content"), F.col("doc_id").alias("chunk_index"))
-    return graph.band(graph.mentions(docs), docs.count()).select("concept_id", "n")
+    return graph.build(_passages(spark, sf_dir))
 
 
 def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,17 +360,19 @@ def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flagship_retrieval")
 def flagship_retrieval(spark, sf_dir):
-    """The best ten documents of each benchmark text by personalised PageRank; entities match concepts exactly and in part."""
-    return retrieval.ppr_retrieve(_documents_graph(spark, sf_dir), _benchmark_queries(spark, sf_dir))
+    """The best ten documents of each benchmark text by personalised PageRank, with contents and the concepts that matched; entities match concepts exactly and in part."""
+    g = _documents_graph(spark, sf_dir)
+    matched = cut(retrieval.match(retrieval.query_entities(_benchmark_queries(spark, sf_dir)), g.concepts))
+    return retrieval.results(g, retrieval.ppr_rank(g, matched), matched)
 
 
-@query("match_exact")
+@query("match_exact", f"WITH {_MENTIONS}, {_QUERY_ENTITIES} SELECT DISTINCT query_id, concept_id FROM qe JOIN c ON entity = concept_id")
 def match_exact(spark, sf_dir):
     """Concepts of the documents that equal an entity of a benchmark text."""
     return retrieval.match(retrieval.query_entities(_benchmark_queries(spark, sf_dir)), _documents_graph(spark, sf_dir).concepts, partial=False)
 
 
-@query("match_partial")
+@query("match_partial", f"WITH {_MENTIONS}, {_QUERY_ENTITIES} SELECT DISTINCT query_id, concept_id FROM qe JOIN c ON entity <> '' AND (contains(concept_id, entity) OR contains(entity, concept_id))")
 def match_partial(spark, sf_dir):
     """Those that hold such an entity or lie in one, equal ones among them."""
     return retrieval.match(retrieval.query_entities(_benchmark_queries(spark, sf_dir)), _documents_graph(spark, sf_dir).concepts)
@@ -356,7 +383,7 @@ def _hits(spark: SparkSession, sf_dir: str, partial: bool) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     gold = queries.join(docs, F.contains(docs["text"], queries["text"])).select("query_id", F.col("doc_id").alias("passage_id")).distinct()
     ranked = retrieval.ppr_retrieve(_documents_graph(spark, sf_dir), queries, partial=partial)
-    return retrieval.hit_metrics(ranked, gold, queries.join(gold, "query_id", "left_semi"))
+    return retrieval.hit_metrics(ranked, gold, queries)
 
 
 @query("hit_at_k")

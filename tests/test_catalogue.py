@@ -19,5 +19,5 @@ def test_flagship_finds_the_gold_documents(spark):
 def test_entry_module_loads(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["query_id", "passage_id", "score", "rank"]
+    assert e.entry(spark).columns == ["query_id", "passage_id", "score", "rank", "content", "matched_concepts"]
     assert set(e.oracle_sql()) <= set(e.queries())

@@ -15,8 +15,9 @@ def test_pagerank_of_the_toy_graph_both_ways(spark):
     assert ppr.steps(0.15, 1e-6, 1000) == 90
     got = {r.passage_id: r.score for r in ppr.ppr(edges, start).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
-    short = [sorted((r.passage_id, round(r.score, 9)) for r in ppr.ppr(edges, start, max_iter=5, kernel_edges=k).collect()) for k in (0, 100)]
-    assert short[0] == short[1] and len(short[0]) == 3
+    for alpha, most in ((0.15, 5), (0.15, 4), (0.0, 4), (0.0, 3), (1.0, 9), (0.5, 100)):
+        both = [sorted((r.passage_id, round(r.score, 9)) for r in ppr.ppr(edges, start, alpha, max_iter=most, kernel_bytes=k).collect()) for k in (0, 10_000)]
+        assert both[0] == both[1] and len(both[0]) == (0 if (alpha, most) in ((0.0, 4), (1.0, 9)) else 3), (alpha, most)
     assert ppr.ppr(edges.limit(0), start).count() == 0 and ppr.ppr(edges, start.limit(0)).count() == 0
 
 
@@ -49,7 +50,12 @@ def test_extraction_and_build(spark):
     kept = {r.concept_id for r in g.concepts.collect()}
     assert "revenue" in kept and "apple inc" not in kept and "microsoft corporation" not in kept
     q = spark.createDataFrame([(1, "What about Apple's revenue?")], "query_id int, text string")
-    assert retrieval.ppr_retrieve(g, q, 2).first().passage_id == "passage_0"
+    matched = retrieval.match(retrieval.query_entities(q), g.concepts)
+    ranked = retrieval.ppr_rank(g, matched, 2)
+    first, second = retrieval.results(g, ranked, matched).orderBy("rank").collect()
+    assert (first.passage_id, second.passage_id) == ("passage_0", "passage_1") and second.score == 0 and second.matched_concepts == []
+    assert first.content.startswith("Apple Inc") and "revenue" in first.matched_concepts
+    assert [r.passage_id for r in retrieval.ppr_rank(g, matched, 2, drop_zero=True).collect()] == ["passage_0"]
     with pytest.raises(ValueError):
         graph.build(df, 0)
     assert graph.build(df.limit(0)).edges.count() == 0
@@ -71,9 +77,14 @@ def test_save_load_and_stream_equal_batch(spark, tmp_path):
     docs.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     incremental.index_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {r.concept_id for r in spark.read.parquet(str(tmp_path / "out")).select("signature", "concept_id").distinct().collect()}
-    assert got == {r.c for r in docs.select(F.explode(T.concepts(F.col("content"))).alias("c")).distinct().collect()}
-    assert spark.read.parquet(str(tmp_path / "out")).select("signature").distinct().count() == 4
+    first = spark.read.parquet(str(tmp_path / "out" / "passages")).drop("batch")
+    assert first.count() == 4 == spark.read.parquet(str(tmp_path / "out" / "signatures")).count()
+    streamed, built = incremental.graph(spark, str(tmp_path / "out"), 1, 1.0), graph.build(first, 1, 1.0)
+    for name in ("concepts", "edges"):
+        a, b = (sorted(map(tuple, getattr(g, name).collect())) for g in (streamed, built))
+        assert a == b and a
+    incremental.index_batch(docs, 99, str(tmp_path / "out"))  # all of it is known
+    assert spark.read.parquet(str(tmp_path / "out" / "mentions")).where("batch = 99").count() == 0
 
 
 def test_extraction_of_very_long_texts(spark):

@@ -32,7 +32,7 @@ def test_pagerank_of_every_size_runs_to_its_tolerance(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey int, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     spark.createDataFrame(lines, "l_orderkey int, l_partkey int").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {}
-    for r in QUERIES["ppr_topk_all"](spark, str(tmp_path)).collect():
+    for r in QUERIES["ppr_topk"](spark, str(tmp_path)).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.passage_id, r.score))
     held = {c for _, c in lines}
     sizes = {s for k, s in parts if k in held}
@@ -56,8 +56,11 @@ def test_flagship_matches_concepts_in_part(spark, tmp_path):
     assert pairs("match_partial") == {(i, c) for i, q in asked for c in concepts if q in c or c in q}
     got = {}
     for r in QUERIES["flagship_retrieval"](spark, str(tmp_path)).collect():
-        got.setdefault(r.query_id, set()).add(r.passage_id)
-    assert got == {1: {0, 1}, 2: {2, 3}, 3: {4, 5}}
+        got.setdefault(r.query_id, []).append((r.rank, r.passage_id, r.score > 0, r.content == texts[r.passage_id], r.matched_concepts))
+    assert {q: {p for _, p, some, *_ in rows if some} for q, rows in got.items()} == {1: {0, 1}, 2: {2, 3}, 3: {4, 5}}
+    # the other passages fill the ranking with score 0, in their order
+    assert [p for _, p, *_ in sorted(got[2])][2:] == [0, 1, 4, 5] and all(same for rows in got.values() for *_, same, _ in rows)
+    assert {tuple(m) for _, p, *_, m in got[2] if p == 2} == {("harbour",)}
 
 
 def test_mention_band_counts_every_kind(spark, tmp_path):
@@ -66,7 +69,7 @@ def test_mention_band_counts_every_kind(spark, tmp_path):
         "Revenue revenue networks", "networks of harbour", "plain", "paid $5 million and 12 percent", "nothing here", "",
     ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.concept_id: r.n for r in QUERIES["concept_mention_band"](spark, str(tmp_path)).collect()}
+    got = {r.concept_id: r.n for r in QUERIES["concept_frequency_band"](spark, str(tmp_path)).collect()}
     # Counted by hand: entity and concept rows add up ("acme corporation" is both, and the capitalised phrase an entity of the same surface);
     # "revenue" is one entity row and one concept row. Stop words among the long words are left out.
     assert got == {"2024": 2, "acme corporation": 4, "corporation": 2, "$5 million": 2, "million": 2, "12 percent": 2, "percent": 2, "user-friendly": 2, "friendly": 2, "camelcase": 4, "revenue": 2, "networks": 2}
