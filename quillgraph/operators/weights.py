@@ -70,7 +70,7 @@ def document_frequency(terms: DataFrame, passages: DataFrame) -> DataFrame:
     """``term, df``: passages whose text contains each distinct term, whatever the case; met by an equality join, never all with all."""
     t = terms.select("term", F.lower("term").alias("t")).where("t <> ''").distinct()
     p = passages.where("content IS NOT NULL").select("passage_id", F.lower("content").alias("c"))
-    met = contained(t.select("t"), p.select("c")).withColumnsRenamed({"inner": "t", "outer": "c"})
+    met = contained(t.select("t"), p.select("c"), long=True).withColumnsRenamed({"inner": "t", "outer": "c"})
     return met.join(p, "c").groupBy("t").agg(F.countDistinct("passage_id").alias("df")).join(t, "t").select("term", "df")
 
 

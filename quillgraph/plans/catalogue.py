@@ -396,3 +396,331 @@ def hit_at_k(spark, sf_dir):
 def hit_at_k_partial(spark, sf_dir):
     """The same of the flagship, which matches parts too."""
     return _hits(spark, sf_dir, True)
+
+
+# structure and lookups
+
+
+@query(
+    "structural_statistics",
+    f"""WITH RECURSIVE e AS ({_EDGES}), d AS (SELECT 'p' || passage_id AS node, count(*) AS degree FROM e GROUP BY 1 UNION ALL SELECT 'c' || concept_id, count(*) FROM e GROUP BY 1),
+    t AS (SELECT count(*) AS nodes, (SELECT count(*) FROM e) AS edges, count(*) FILTER (node LIKE 'p%') AS passage_nodes, count(*) FILTER (node LIKE 'c%') AS concept_nodes, avg(degree) AS a, max(degree) AS max_degree, min(degree) AS min_degree FROM d)
+    SELECT nodes, edges, round(2 * edges / (nodes * (nodes - 1.0)), 9) AS density, passage_nodes, concept_nodes, round(edges / (passage_nodes * concept_nodes::DOUBLE), 9) AS bipartite_density, round(a, 6) AS avg_degree, max_degree, min_degree FROM t""",
+)
+def structural_statistics(spark, sf_dir):
+    got = graph.structure(_graph_edges(spark, sf_dir))
+    return got.drop("is_connected", "components", "is_bipartite").withColumns({"density": F.round("density", 9), "bipartite_density": F.round("bipartite_density", 9), "avg_degree": F.round("avg_degree", 6)})
+
+
+@query("graph_components")
+def graph_components(spark, sf_dir):
+    """Connected components of the graph of orders and parts, and whether it is one."""
+    return graph.structure(_graph_edges(spark, sf_dir)).select("components", "is_connected", "is_bipartite")
+
+
+@query(
+    "top_concepts",
+    f"""WITH e AS ({_EDGES}), d AS (SELECT concept_id, count(*) AS degree FROM e GROUP BY 1)
+    SELECT p_partkey AS concept_id, p_name AS concept_text, coalesce(degree, 0) AS degree FROM part LEFT JOIN d ON concept_id = p_partkey ORDER BY degree DESC, p_size DESC, p_name || p_partkey DESC LIMIT 30""",
+)
+def top_concepts(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("concept_text"), "p_name", F.col("p_size").alias("frequency"))
+    return graph.top_concepts(parts, _graph_edges(spark, sf_dir)).select("concept_id", F.col("p_name").alias("concept_text"), "degree")
+
+
+# queries
+
+
+_CLEAN = f"trim(regexp_replace(regexp_replace(lower({_MASK}), '[^a-zA-Z0-9_\\s\\-''.]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("clean_queries", f"SELECT item_id, {_CLEAN} AS cleaned FROM benchmark")
+def clean_queries(spark, sf_dir):
+    """Benchmark texts as queries are cleaned, with letters beyond ASCII shown as one sign."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(T.clean_query(F.lower("text")), r"[^\x00-\x7F]", "_").alias("cleaned"))
+
+
+_TERM_STOP = "[" + ", ".join(f"'{w}'" for w in T.TERM_STOP) + "]"
+
+
+@query(
+    "query_terms",
+    f"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+    r AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    g AS (SELECT item_id, n, i, w[i : i + n - 1] AS g FROM r, (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w))
+    SELECT item_id, array_to_string(g, ' ') AS term, count(*) AS n FROM g WHERE len(list_filter(g, lambda x: list_contains({_TERM_STOP}, x))) = 0 AND (n > 1 OR length(g[1]) > 2) GROUP BY ALL""",
+)
+def query_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(Q.terms(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("n"))
+
+
+_NAMES = "SELECT DISTINCT p_name AS t FROM part"
+_OVER = f"""SELECT q.t AS query_id, c.t AS concept_id, 0.8 + 0.2 * CASE WHEN contains(lower(q.t), lower(c.t)) OR contains(lower(c.t), lower(q.t)) THEN 1.0
+    ELSE len(list_intersect(list_distinct(string_split(lower(q.t), ' ')), list_distinct(string_split(lower(c.t), ' ')))) / len(list_distinct(string_split(lower(c.t), ' '))) END AS score FROM ({_NAMES}) q, ({_NAMES}) c"""
+
+
+@query("query_text_matches", f"SELECT query_id, concept_id, round(score, 6) AS score FROM ({_OVER}) WHERE score >= 0.9 - 1e-9")
+def query_text_matches(spark, sf_dir):
+    """Part names that a part name has at least half the words of."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    got = Q.text_matches(names.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("text")), names.select(F.col("p_name").alias("concept_id"), F.col("p_name").alias("concept_text")))
+    return got.withColumn("score", F.round("score", 6))
+
+
+_BY_KIND = {k: f"SELECT user_id AS query_id, event_id % 50 AS concept_id, max(value) / 100 AS {n} FROM events WHERE event_type = '{k}' GROUP BY ALL" for k, n in (("click", "x"), ("view", "t"), ("purchase", "q"))}
+_MERGED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, concept_id) AS rank FROM (SELECT query_id, concept_id, coalesce(greatest(x, t), q) AS score
+    FROM ({_BY_KIND["click"]}) FULL JOIN ({_BY_KIND["view"]}) USING (query_id, concept_id) FULL JOIN ({_BY_KIND["purchase"]}) USING (query_id, concept_id))"""
+
+
+def _merged_entities(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kinds = [e.where(F.col("event_type") == k).select(F.col("user_id").alias("query_id"), F.expr("event_id % 50").alias("concept_id"), (F.col("value") / 100).alias("score")) for k in _BY_KIND]
+    return Q.merge_entities(*kinds)
+
+
+@query("query_entities_merge", f"SELECT query_id, concept_id, round(score, 6) AS score, rank FROM ({_MERGED}) WHERE rank <= 10")
+def query_entities_merge(spark, sf_dir):
+    """The best ten entities of each user by three rankings of events."""
+    return _merged_entities(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "query_confidence",
+    f"""WITH m AS (SELECT * FROM ({_MERGED}) WHERE rank <= 10), a AS (SELECT query_id, avg(score) AS s, count(*) AS n, count(*) FILTER (concept_id > 5) AS o FROM m GROUP BY 1)
+    SELECT DISTINCT user_id AS query_id, round(CASE WHEN n IS NULL THEN 0.1 ELSE least(1.0, s + least(0.2, 0.05 * n) + least(0.2, 0.05 * o)) END, 6) AS confidence FROM events LEFT JOIN a ON query_id = user_id""",
+)
+def query_confidence(spark, sf_dir):
+    """How sure each user's entities are; an entity's number stands for its frequency."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"))
+    concepts = spark.range(50).select(F.col("id").alias("concept_id"), F.col("id").alias("frequency"))
+    return Q.confidence(users, _merged_entities(spark, sf_dir), concepts).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "hybrid_confidence",
+    f"""WITH {_SIDES}, f AS (SELECT query_id, passage_id, coalesce(p, 0) / 101 AS p, coalesce(s, 0) / 101 AS s FROM a FULL JOIN b USING (query_id, passage_id))
+    SELECT query_id, passage_id, round(least(1.0, CASE WHEN p > 0 AND s > 0 THEN 0.9 WHEN p > 0 THEN 0.7 WHEN s > 0 THEN 0.6 ELSE 0 END + 0.1 + least(0.2, 0.1 * greatest(p, s))), 6) AS confidence,
+    CASE WHEN p > 0 AND s > 0 THEN printf('Linked in the graph (%.3f) and similar in meaning (%.3f)', p, s) WHEN p > 0 THEN printf('Linked in the graph through entities (%.3f)', p) ELSE printf('Similar in meaning (%.3f)', s) END AS explanation FROM f""",
+)
+def hybrid_confidence(spark, sf_dir):
+    f = retrieval.fuse(*_sides(spark, sf_dir))
+    p, s = F.col("ppr_score") / 101, F.col("semantic_score") / 101
+    return f.select("query_id", "passage_id", F.round(retrieval.confidence(p, s, F.lit(0.5)), 6).alias("confidence"), retrieval.explanation(p, s, F.array().cast("array<string>")).alias("explanation"))
+
+
+@query(
+    "hybrid_analysis",
+    f"""WITH {_SIDES.replace(" HAVING max(value) >= 1e-06", "").replace(" HAVING max(value) >= 0.3", "")}, f AS (SELECT query_id, p, s FROM a FULL JOIN b USING (query_id, passage_id))
+    SELECT query_id, count(*) FILTER (s IS NULL) AS ppr_only, count(*) FILTER (p IS NULL) AS semantic_only, count(*) FILTER (p IS NOT NULL AND s IS NOT NULL) AS combined, round(coalesce(avg(p), 0), 6) AS avg_ppr_score,
+    round(coalesce(avg(s), 0), 6) AS avg_semantic_score, round(count(*) FILTER (p IS NOT NULL AND s IS NOT NULL) / count(*), 6) AS coverage_overlap FROM f GROUP BY 1""",
+)
+def hybrid_analysis(spark, sf_dir):
+    a = retrieval.analyse(*_sides(spark, sf_dir))
+    return a.withColumns({c: F.round(c, 6) for c in ("avg_ppr_score", "avg_semantic_score", "coverage_overlap")})
+
+
+@query("diversify")
+def diversify(spark, sf_dir):
+    """The best ten documents of each user's events that differ in their first words."""
+    click, view = _sides(spark, sf_dir)
+    return retrieval.diversify(retrieval.fuse(click, view).join(_passages(spark, sf_dir).select("passage_id", "content"), "passage_id"), 10).select("query_id", "passage_id", "score", "rank")
+
+
+@query("semantic_explain", """SELECT a.vec_id AS query_id, b.vec_id AS passage_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
+    CASE WHEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.8 THEN 'very high' WHEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.6 THEN 'high'
+    WHEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4 THEN 'moderate' ELSE 'low' END AS level FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def semantic_explain(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    q, p = v.select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("passage_id"), "embedding", F.lit("").alias("content"))
+    got = retrieval.semantic_explain(q, p, v.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("passage_id")))
+    return got.select("query_id", "passage_id", F.round("similarity", 6).alias("similarity"), "level")
+
+
+@query("semantic_match", """SELECT a.vec_id AS query_id, b.vec_id AS concept_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+    FROM embeddings a, embeddings b WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4""")
+def semantic_match(spark, sf_dir):
+    """All pairs of vectors whose plain product reaches a threshold, as entities match concepts."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    got = vectors.search(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "passage_id"), None, 0.4, unit=False)
+    return got.select("query_id", F.col("passage_id").alias("concept_id"), F.round("score", 6).alias("similarity"))
+
+
+# weights
+
+
+_TERMS = "SELECT DISTINCT doc_id, w AS term FROM (SELECT doc_id, unnest(string_split_regex(text, '[^a-zA-Z]+')) AS w FROM documents) WHERE length(w) >= 12"
+_KEYS = "[" + ", ".join(f"'{k}'" for k in weights.KEYWORDS) + "]"
+
+
+@query(
+    "edge_weights",
+    f"""WITH d AS (SELECT doc_id, text, lower(text) AS low, length(text) AS len, {_WORDS} AS words FROM documents), t AS ({_TERMS}), n AS (SELECT count(*) AS n FROM documents),
+    u AS (SELECT DISTINCT lower(term) AS l FROM t), df AS (SELECT l, count(*) AS df FROM u JOIN d ON contains(low, l) GROUP BY 1),
+    p AS (SELECT doc_id, term, string_split(low, lower(term)) AS parts FROM t JOIN d USING (doc_id)),
+    s AS (SELECT doc_id, term, unnest(range(1, len(parts))) AS k, parts FROM p),
+    m AS (SELECT doc_id, term, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(term) AS pos FROM s),
+    c AS (SELECT doc_id, term, pos / len AS r, substr(low, CAST(greatest(pos - 50, 0) AS BIGINT) + 1, CAST(least(len, pos + length(term) + 50) - greatest(pos - 50, 0) AS BIGINT)) AS near FROM m JOIN d USING (doc_id)),
+    v AS (SELECT doc_id, term, count(*) AS mentions, max(CASE WHEN r < 0.2 OR r > 0.8 THEN 0.9 WHEN r < 0.4 OR r > 0.6 THEN 0.7 ELSE 0.5 END) AS position,
+    max(least(1.0, 5.0 * len(list_filter({_KEYS}, lambda k: contains(near, k))) / greatest(1, len(list_filter(regexp_split_to_array(near, '\\s+'), lambda w: w <> ''))))) AS context FROM c GROUP BY ALL),
+    x AS (SELECT doc_id, term, mentions, least(1.0, 10.0 * mentions / words) AS tf, CASE WHEN n <= 1 THEN 1.0 ELSE ln(n / df) / ln(n) END AS idf, position, context FROM v JOIN d USING (doc_id) JOIN df ON l = lower(term), n)
+    SELECT doc_id, term, mentions, round(tf, 6) AS tf, round(idf, 6) AS idf, position, round(context, 6) AS context,
+    round(least(1.0, (0.35 * tf * idf + 0.25 * position + 0.14 + 0.2 * context) * CASE WHEN mentions > 1 THEN least(1.2, 1 + 0.1 * (mentions - 1)) ELSE 1 END), 6) AS weight FROM x""",
+)
+def edge_weights(spark, sf_dir):
+    """Weights of the long words of every document."""
+    docs = _passages(spark, sf_dir)
+    terms = docs.select("passage_id", F.explode(F.array_distinct(F.split("content", "[^a-zA-Z]+"))).alias("term")).where("length(term) >= 12").withColumn("kind", F.lit("UNKNOWN"))
+    got = weights.edge_weights(docs, terms)
+    return got.select(F.col("passage_id").alias("doc_id"), "term", "mentions", *[F.round(c, 6).alias(c) for c in ("tf", "idf")], "position", *[F.round(c, 6).alias(c) for c in ("context", "weight")])
+
+
+# deduplication
+
+
+_FIRST = "SELECT p_name AS t, min(p_partkey) AS id FROM part GROUP BY 1"
+_JUDGED = f"""WITH e AS ({_EDGES}), n AS (SELECT concept_id, count(*) AS n FROM e GROUP BY 1), f AS ({_FIRST}), q AS (SELECT a, b, s, x.id AS ai, y.id AS bi FROM ({_PAIRS}) JOIN f x ON x.t = a JOIN f y ON y.t = b WHERE s >= 0.7),
+    k AS (SELECT ai, bi, (SELECT count(*) FROM e u JOIN e v ON u.passage_id = v.passage_id WHERE u.concept_id = ai AND v.concept_id = bi) AS met, coalesce((SELECT n FROM n WHERE concept_id = ai), 0) AS na, coalesce((SELECT n FROM n WHERE concept_id = bi), 0) AS nb FROM q)
+    SELECT a, b, s, CASE WHEN na + nb - met = 0 THEN 1.0 ELSE met / (na + nb - met) END AS j FROM q JOIN k USING (ai, bi)"""
+
+
+def _named_parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("concept_text"), F.lit("named_entity").alias("concept_type"), F.lit(1).cast("bigint").alias("frequency"))
+
+
+@query(
+    "dedup_candidates",
+    f"""SELECT a, b, round(s, 6) AS string_similarity, round(j, 6) AS graph_similarity, round(least(1.0, 0.3 * s + 0.3 * j), 6) AS confidence, 'string' || CASE WHEN j >= 0.0005 THEN '+graph' ELSE '+certain' END AS phase
+    FROM ({_JUDGED}) WHERE j >= 0.0005 OR s >= 0.85""",
+)
+def dedup_candidates(spark, sf_dir):
+    """Part names alike in letters, whose orders agree a little or whose letters are certain."""
+    got = dedup.candidates(_named_parts(spark, sf_dir), _graph_edges(spark, sf_dir), None, 0.7, graph_least=0.0005, certain=0.85)
+    return got.select("a", "b", *[F.round(c, 6).alias(c) for c in ("string_similarity", "graph_similarity", "confidence")], "phase")
+
+
+_TO_FIRST = f"SELECT p_partkey AS duplicate, id AS canonical FROM part JOIN ({_FIRST}) ON t = p_name WHERE p_partkey <> id"
+
+
+def _to_first(spark, sf_dir):
+    parts = _named_parts(spark, sf_dir)
+    first = parts.groupBy("concept_text").agg(F.min("concept_id").alias("canonical"))
+    return parts.join(first, "concept_text").where("concept_id <> canonical").select(F.col("concept_id").alias("duplicate"), "canonical")
+
+
+@query("merged_concepts", f"""WITH e AS ({_EDGES}), m AS ({_TO_FIRST}), x AS (SELECT DISTINCT coalesce(canonical, concept_id) AS concept_id, passage_id FROM e LEFT JOIN m ON duplicate = concept_id), c AS (SELECT concept_id, count(*) AS f FROM x GROUP BY 1)
+    SELECT id AS concept_id, t AS concept_text, coalesce(f, 0) AS frequency, (SELECT count(*) FROM part WHERE p_name = t) AS merged FROM ({_FIRST}) LEFT JOIN c ON concept_id = id""")
+def merged_concepts(spark, sf_dir):
+    """Parts of one name as one concept."""
+    out, _ = dedup.merge_concepts(_named_parts(spark, sf_dir), _graph_edges(spark, sf_dir).withColumn("weight", F.lit(1.0)), _to_first(spark, sf_dir))
+    return out.select("concept_id", "concept_text", "frequency", "merged")
+
+
+@query("merged_edges", f"""WITH m AS ({_TO_FIRST}) SELECT l_orderkey AS passage_id, coalesce(canonical, l_partkey) AS concept_id, max(l_discount) AS weight FROM lineitem LEFT JOIN m ON duplicate = l_partkey GROUP BY ALL""")
+def merged_edges(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("passage_id"), F.col("l_partkey").alias("concept_id"), F.col("l_discount").alias("weight"))
+    return dedup.merge_concepts(_named_parts(spark, sf_dir), edges, _to_first(spark, sf_dir))[1]
+
+
+@query("dedup_report", f"""WITH m AS ({_TO_FIRST}), s AS (SELECT canonical, count(*) + 1 AS size FROM m GROUP BY 1)
+    SELECT (SELECT count(*) FROM part) AS before, (SELECT count(*) FROM part) - (SELECT count(*) FROM m) AS after, round(100.0 * (SELECT count(*) FROM m) / (SELECT count(*) FROM part), 6) AS reduction_percent, count(*) AS clusters, round(avg(size), 6) AS avg_cluster_size, max(size) AS max_cluster_size FROM s""")
+def dedup_report(spark, sf_dir):
+    counts, _ = dedup.report(_named_parts(spark, sf_dir), _to_first(spark, sf_dir))
+    return counts.withColumns({c: F.round(c, 6) for c in ("reduction_percent", "avg_cluster_size")})
+
+
+@query("append_graph", "SELECT 'passage_' || ((SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY o_orderkey) - 1) AS passage_id, o_orderkey AS old FROM orders")
+def append_graph(spark, sf_dir):
+    """Orders appended to as many others as the greatest order number: each is numbered on."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("passage_id"), F.col("o_orderkey").cast("string").alias("content"), F.col("o_orderkey").alias("chunk_index"))
+    most = orders.agg(F.max("chunk_index")).first()[0]
+    base = spark.range(most).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("passage_id"), F.lit(None).cast("string").alias("content"), F.col("id").alias("chunk_index"))
+    empty = graph.Graph.empty(spark)
+    both = graph.append(graph.Graph(base, empty.concepts, empty.edges), graph.Graph(orders, empty.concepts, empty.edges))
+    return both.passages.where("content IS NOT NULL").select("passage_id", F.col("content").cast("bigint").alias("old"))
+
+
+# ingestion
+
+
+def _as_json(spark, sf_dir, fields: dict):
+    """Conversation turns as JSON items of one list each."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    return turns.select(F.to_json(F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))).alias("value"))
+
+
+def _ingested(name: str, sql: str, rule: str | None, **fields):
+    def run(spark, sf_dir):
+        columns = {k: F.expr(v) for k, v in fields.items()}
+        return json.ingest(_as_json(spark, sf_dir, columns), rule).select("content", "rule", F.col("content_hash").alias("hash")).groupBy("content", "rule", "hash").agg(F.count("*").alias("n"))
+
+    query(name, f"SELECT content, rule, md5(content) AS hash, count(*) AS n FROM ({sql}) WHERE length(trim(content)) >= 30 GROUP BY ALL")(run)
+
+
+_ingested("ingest_rule_qa", "SELECT role || ' asked: ' || text || chr(10) || chr(10) || 'Unknown answered: ' || conv_id AS content, 'qa_format' AS rule FROM conversations WHERE text IS NOT NULL", None, question="text", answer="cast(conv_id AS string)", questioner_name="role")
+_ingested("ingest_rule_said", "SELECT role || ' said: ' || text AS content, 'qa_format' AS rule FROM conversations WHERE text IS NOT NULL", "qa_format", text="text", speaker_name="role")
+_ingested("ingest_rule_parts", "SELECT role || ': ' || text || chr(10) || chr(10) || turn AS content, 'simple_content' AS rule FROM conversations WHERE text IS NOT NULL", None, content="text", body="cast(turn AS string)", author="role")
+_ingested("ingest_rule_single", "SELECT CASE WHEN starts_with(text, role) THEN text ELSE role || ': ' || text END AS content, 'chunk_array' AS rule FROM conversations WHERE text IS NOT NULL", None, content="text", document_metadata="named_struct('source', role)", author="role")
+_ingested("ingest_rule_nested", "SELECT text AS content, 'nested_chunks' AS rule FROM conversations WHERE text IS NOT NULL", "nested_chunks", content="text", metadata="named_struct('document', named_struct('a', role))")
+
+
+@query("ingest_structures", "SELECT 'chunk_array' AS rule, count(*) AS n FROM conversations WHERE text IS NOT NULL AND length(trim(text)) >= 30 AND role = 'user' HAVING count(*) > 0 UNION ALL SELECT 'simple_content', count(*) FROM conversations WHERE text IS NOT NULL AND length(trim(text)) >= 30 AND role <> 'user' HAVING count(*) > 0")
+def ingest_structures(spark, sf_dir):
+    """Lists of different structures in one job: each is told by its own first item."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    item = F.struct(F.col("text").alias("content"), F.when(F.col("role") == "user", F.struct(F.col("conv_id"))).alias("document_metadata"))
+    return json.ingest(turns.select(F.to_json(F.array(item)).alias("value"))).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+# caches and evaluation
+
+
+@query("extraction_cache", f"""WITH {_MENTIONS}, x AS (SELECT DISTINCT md5(text) AS passage_hash, {_MASK} AS t FROM documents WHERE text IS NOT NULL)
+    SELECT passage_hash, len({_ENTITY_SQL}) AS entities, len({_CONCEPT_SQL}) AS concepts FROM x""")
+def extraction_cache(spark, sf_dir):
+    """What an extraction of all documents puts into an empty cache."""
+    made = cache.extract(_passages(spark, sf_dir).select("content"))
+    return made.select("passage_hash", F.size("entities").alias("entities"), F.size("concepts").alias("concepts"))
+
+
+@query("extraction_summary", "SELECT count(DISTINCT source) AS documents, count(DISTINCT md5(text)) AS passages FROM documents WHERE text IS NOT NULL")
+def extraction_summary(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.md5("text").alias("passage_hash"), F.create_map(F.lit("source"), "source").alias("document_metadata"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("concepts"))
+    return cache.summary(docs.where("passage_hash IS NOT NULL")).select("documents", "passages")
+
+
+@query("stratified_allocation", """WITH r AS (SELECT lang, source FROM documents), c AS (SELECT lang, source, count(*) AS size FROM r GROUP BY ALL), b AS (SELECT *, least(floor(size * 100.0::DOUBLE / (SELECT count(*) FROM r)), size) AS base, size * 100.0::DOUBLE / (SELECT count(*) FROM r) - floor(size * 100.0::DOUBLE / (SELECT count(*) FROM r)) AS part FROM c),
+    p AS (SELECT *, row_number() OVER (ORDER BY round(part, 9) DESC, lang DESC, source DESC) AS place, least(100, (SELECT count(*) FROM r)) - sum(base) OVER () AS left_ FROM b)
+    SELECT lang, source, size, CAST(base + CASE WHEN place <= left_ AND base < size THEN 1 ELSE 0 END AS BIGINT) AS taken FROM p""")
+def stratified_allocation(spark, sf_dir):
+    """A hundred documents over languages and sources."""
+    return evaluate.allocation(table(spark, sf_dir, "documents").select("lang", "source"), ["lang", "source"], 100)
+
+
+@query("stratified_sample", """WITH c AS (SELECT lang, count(*) AS size FROM documents GROUP BY 1), b AS (SELECT *, floor(size * 50.0::DOUBLE / (SELECT count(*) FROM documents)) AS base, size * 50.0::DOUBLE / (SELECT count(*) FROM documents) - floor(size * 50.0::DOUBLE / (SELECT count(*) FROM documents)) AS part FROM c),
+    p AS (SELECT lang, base + CASE WHEN row_number() OVER (ORDER BY round(part, 9) DESC, lang DESC) <= 50 - sum(base) OVER () AND base < size THEN 1 ELSE 0 END AS taken FROM b),
+    o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents)
+    SELECT doc_id, o.lang FROM o JOIN p ON p.lang IS NOT DISTINCT FROM o.lang WHERE place <= taken""")
+def stratified_sample(spark, sf_dir):
+    """Fifty documents, as many of each language as its share: a sampling operator."""
+    return evaluate.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], 50, "doc_id")
+
+
+@query("latency_percentiles", """WITH p AS (SELECT event_type, unnest([50.0, 95.0]) AS p, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)
+    SELECT event_type, p::DOUBLE AS p, v[CAST(round_even(p / 100 * (len(v) - 1), 0) AS BIGINT) + 1] AS value FROM p""")
+def latency_percentiles(spark, sf_dir):
+    return evaluate.percentiles(table(spark, sf_dir, "events"), "value", by=["event_type"])
+
+
+_RANKED = "SELECT user_id AS query_id, event_id % 50 AS passage_id, CAST(min(event_id % 7) + 1 AS INTEGER) AS rank FROM events WHERE event_type = 'click' GROUP BY ALL"
+_GOLD = "SELECT DISTINCT user_id AS query_id, event_id % 50 AS passage_id FROM events WHERE event_type = 'view'"
+_ASKED = "SELECT DISTINCT user_id AS query_id FROM events"
+
+
+@query("retrieval_metrics", f"""WITH r AS ({_RANKED}), g AS ({_GOLD}), q AS ({_ASKED}), f AS (SELECT query_id, count(g.passage_id) AS n, min(rank) AS best, count(*) FILTER (rank <= 1) AS n1, count(*) FILTER (rank <= 3) AS n3, count(*) FILTER (rank <= 5) AS n5, count(*) FILTER (rank <= 10) AS n10
+    FROM q LEFT JOIN g USING (query_id) LEFT JOIN r USING (query_id, passage_id) GROUP BY 1), k AS (SELECT n, best, unnest([1, 3, 5, 10]) AS k, unnest([n1, n3, n5, n10]) AS got FROM f)
+    SELECT k, round(avg(CAST(got > 0 AS INTEGER)), 6) AS hit, round(avg(CAST(n > 0 AND got = n AS INTEGER)), 6) AS full_support, round(avg(CASE WHEN n > 0 THEN got / n END), 6) AS coverage, round(avg(coalesce(1 / best, 0)), 6) AS mrr FROM k GROUP BY 1""")
+def retrieval_metrics(spark, sf_dir):
+    """Hit rates, support and reciprocal ranks of users' clicks against what they viewed."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.expr("event_id % 50").alias("passage_id"), "event_id", "event_type")
+    ranked = e.where("event_type = 'click'").groupBy("query_id", "passage_id").agg((F.min(F.expr("event_id % 7")) + 1).cast("int").alias("rank"))
+    return evaluate.evaluate(ranked, e.where("event_type = 'view'"), e)[0]
