@@ -58,8 +58,8 @@ HELD_OUT, QUANTILE, SLACK, PRIOR = 5, 0.99, 1.1, 60
 #: Most rows of a shard of the model, for n-grams and for contexts.
 SHARD_ROWS = 4_000_000
 #: Characters of a part of a text, characters whose n-grams a task scores at once, and bytes of shards that a worker keeps.
-PART_CHARS, BLOCK_CHARS, CACHE_BYTES = 1 << 20, 1 << 23, 256 << 20
-_HELD: int = 1 << 22  # entries that a counting task holds before it adds them up
+PART_CHARS, BLOCK_CHARS, CACHE_BYTES = 1 << 18, 1 << 22, 128 << 20
+_HELD: int = 1 << 20  # entries that a counting task holds before it adds them up
 _ONE, _TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 
 
