@@ -13,7 +13,10 @@ def test_query_equals_its_sql(spark, name):
 
 def test_flagship_finds_the_gold_documents(spark):
     rows = {r.k: r for r in QUERIES["hit_at_k"](spark, SF).collect()}
-    assert rows[10].hit >= 0.9 and rows[10].mrr > 0.5
+    asked, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("benchmark", "documents"))
+    # rates are over all queries; only some have a gold document
+    share = asked.join(docs, docs["text"].contains(asked["text"]), "left_semi").count() / asked.count()
+    assert 0 < share < 1 and rows[10].hit >= 0.9 * share and rows[10].mrr > 0.5 * share and rows[10].coverage >= 0.9
 
 
 def test_entry_module_loads(spark):
