@@ -59,6 +59,7 @@ HELD_OUT, QUANTILE, SLACK, PRIOR = 5, 0.99, 1.1, 60
 SHARD_ROWS = 4_000_000
 #: Characters of a part of a text, characters whose n-grams a task scores at once, and bytes of shards that a worker keeps.
 PART_CHARS, BLOCK_CHARS, CACHE_BYTES = 1 << 18, 1 << 22, 128 << 20
+_LOOKED_UP, _ROWS = 1 << 17, 512  # n-grams looked up, and texts unpacked, at once
 _HELD: int = 1 << 20  # entries that a counting task holds before it adds them up
 _ONE, _TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 
@@ -230,13 +231,11 @@ class Model:
         out: Tables = {}
         if read:
             t = pa.concat_tables(read)
-            kind, k, keys, values = (t.column(c).to_numpy() for c in ("kind", "k", "key", "v"))
-            for c in (0, 1):
-                for n in range(ORDER + 1):
-                    mine = np.flatnonzero((kind == c) & (k == n))
-                    if len(mine):
-                        order = mine[np.argsort(keys[mine])]
-                        out[c, n] = keys[order], values[order]
+            kinds, keys, values = (t.column(c).to_numpy() for c in ("kind", "key", "v"))
+            for x in np.unique(kinds).tolist():
+                mine = np.flatnonzero(kinds == x)
+                order = mine[np.argsort(keys[mine])]
+                out[x % 2, x // 2] = keys[order], values[order]
         size = sum(a.nbytes + b.nbytes for a, b in out.values())
         while _KEPT and sum(n for _, n in _KEPT.values()) + size > CACHE_BYTES:
             _KEPT.popitem(last=False)
@@ -248,16 +247,18 @@ class Model:
         out, own = np.zeros(len(hi)), owner(lo >> BITS & _TWO, self.of)
         base = self.shard(-1)
         for s in range(self.of):
-            left = np.flatnonzero(own == s)
-            if not len(left):
+            mine = np.flatnonzero(own == s)
+            if not len(mine):
                 continue
             tables = base | self.shard(s)
-            for k in range(ORDER, 0, -1):
-                h, x = part_of(hi[left], lo[left], k)
-                hit, p = _get(tables.get((0, k)), key(h, x))
-                out[left] += np.where(hit, p, _get(tables.get((1, k - 1)), key(h >> BITS, x >> BITS | (h & _ONE) << 2 * BITS))[1])
-                left = left[~hit]
-            out[left] -= BITS * np.log(2.0)
+            for begin in range(0, len(mine), _LOOKED_UP):
+                left = mine[begin : begin + _LOOKED_UP]
+                for k in range(ORDER, 0, -1):
+                    h, x = part_of(hi[left], lo[left], k)
+                    hit, p = _get(tables.get((0, k)), key(h, x))
+                    out[left] += np.where(hit, p, _get(tables.get((1, k - 1)), key(h >> BITS, x >> BITS | (h & _ONE) << 2 * BITS))[1])
+                    left = left[~hit]
+                out[left] -= BITS * np.log(2.0)
         return out
 
 
@@ -279,13 +280,13 @@ def store(grams: DataFrame, contexts: DataFrame, rows: int = SHARD_ROWS) -> Mode
         for b in batches:
             kind, k, hi, lo = (b.column(c).to_numpy() for c in range(4))
             shard = np.where(k >= 3 - kind, owner(np.where(kind == 1, lo, lo >> BITS) & _TWO, of), -1)
-            columns = [pa.array(shard.astype(np.int32)), b.column(0), b.column(1), pa.array(key(hi, lo)), b.column(4)]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "kind", "k", "key", "v"])
+            columns = [pa.array(shard.astype(np.int32)), pa.array((2 * k + kind).astype(np.int8)), pa.array(key(hi, lo)), b.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "kind", "key", "v"])
 
     both = [t.select(F.lit(kind).alias("kind"), "k", "hi", "lo", F.ln(v).cast("float").alias("v")) for kind, t, v in ((0, grams, "p"), (1, contexts, "g"))]
-    placed = both[0].unionByName(both[1]).mapInArrow(place, "shard int, kind int, k int, key bigint, v float")
+    placed = both[0].unionByName(both[1]).mapInArrow(place, "shard int, kind tinyint, key bigint, v float")
     path = f"{shared_dir(grams.sparkSession)}/quillgraph/model-{uuid.uuid4().hex}"
-    placed.repartition("shard").sortWithinPartitions("shard", "kind", "k", "key").write.partitionBy("shard").parquet(path)
+    placed.repartition("shard").sortWithinPartitions("shard", "kind", "key").write.partitionBy("shard").parquet(path)
     written(path)
     return Model(path, of)
 
@@ -294,36 +295,34 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang, n, nll`` of each row: characters, and the sum of their negative log probabilities."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                keys, hi, lo = (np.concatenate([h[c] for h in held]) for c in range(3))
-                _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-                p, at = model.log_p(hi[first], lo[first])[which], 0
-                for k, _, _, inverse, begin, of, nll in held:
-                    mine = p[at : at + len(k)][inverse]
-                    at += len(k)
-                    np.add.at(nll, of, -np.add.reduceat(mine, begin))
-            for batch, n, nll in waiting:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(nll)], names=["doc_id", "lang", "n", "nll"])
+    def settle(held: list[tuple], nll: np.ndarray) -> None:
+        """Add what the n-grams of a block of pieces cost to the sums of their texts."""
+        keys, hi, lo = (np.concatenate([h[c] for h in held]) for c in range(3))
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        p, at = model.log_p(hi[first], lo[first])[which], 0
+        for k, _, _, inverse, begin, of in held:
+            np.add.at(nll, of, -np.add.reduceat(p[at : at + len(k)][inverse], begin))
+            at += len(k)
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            n, nll = np.array([len(t or "") for t in texts], np.int64), np.zeros(len(texts))
-            waiting.append((batch.select([0, 1]), n, nll))
-            for pieces in parts(texts):
-                hi, lo, at = codes(pieces)
-                k, first, inverse = np.unique(key(hi, lo), return_index=True, return_inverse=True)
-                held.append((k, hi[first], lo[first], inverse.astype(np.int32), at[:-1], np.array([i for i, *_ in pieces]), nll))
-                size += len(hi)
-            if size >= BLOCK_CHARS:
-                yield from flush()
-                waiting, held, size = [], [], 0
-        yield from flush()
+            n, nll = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            held: list[tuple] = []
+            size = 0
+            for row in range(0, batch.num_rows, _ROWS):
+                texts = batch.column(2).slice(row, _ROWS).to_pylist()
+                n[row : row + len(texts)] = [len(t or "") for t in texts]
+                for pieces in parts(texts):
+                    hi, lo, at = codes(pieces)
+                    k, first, inverse = np.unique(key(hi, lo), return_index=True, return_inverse=True)
+                    held.append((k, hi[first], lo[first], inverse.astype(np.int32), at[:-1], row + np.array([i for i, *_ in pieces])))
+                    size += len(hi)
+                    if size >= BLOCK_CHARS:
+                        settle(held, nll)
+                        held, size = [], 0
+            if held:
+                settle(held, nll)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(nll)], names=["doc_id", "lang", "n", "nll"])
 
     return source.mapInArrow(walk, "doc_id bigint, lang string, n bigint, nll double")
 
