@@ -37,11 +37,11 @@ class Result:
         return self.content
 
     def to_dict(self) -> dict:
-        return {"id": self.id, "passage_id": self.id, "content": self.content, "text": self.content, "score": self.score, "matched_concepts": self.matched_concepts, "metadata": self.metadata}
+        return {"score": self.score, "metadata": self.metadata, "matched_concepts": self.matched_concepts} | dict.fromkeys(("id", "passage_id"), self.id) | dict.fromkeys(("text", "content"), self.content)
 
     def to_document(self) -> dict:
         """``page_content`` and metadata; the result's own keys win over the passage's."""
-        return {"page_content": self.content, "metadata": self.metadata | {"id": self.id, "passage_id": self.id, "score": self.score, "matched_concepts": self.matched_concepts}}
+        return {"page_content": self.content, "metadata": self.metadata | dict.fromkeys(("id", "passage_id"), self.id) | {"matched_concepts": self.matched_concepts, "score": self.score}}
 
 
 @dataclass
@@ -174,7 +174,7 @@ class Engine:
         return both.select("query_id", "concept_id", T.dot(F.col("__q"), F.col("__c")).alias("similarity"))
 
     def retrieve_all(
-        self, queries: DataFrame, method: str | None = None, top_k: int | None = None, ppr_weight: float = 0.6, semantic_weight: float = 0.4, min_score_threshold: float | None = None
+        self, queries: DataFrame, method: str | None = None, top_k: int | None = None, min_score_threshold: float | None = None, semantic_weight: float = 0.4, ppr_weight: float = 0.6
     ) -> tuple[DataFrame, DataFrame]:
         """Results ``query_id, rank, passage_id, content, score, matched_concepts[, metadata]`` and counts by query of ``queries(query_id, text)``.
 

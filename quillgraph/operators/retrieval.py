@@ -122,7 +122,7 @@ def semantic(queries: DataFrame, passages: DataFrame, k: int = 10, least: float
 
 
 def fuse(
-    ppr: DataFrame, sem: DataFrame, method: str = "weighted_sum", ppr_weight: float = 0.6, semantic_weight: float = 0.4, min_ppr: float = 1e-6, min_semantic: float = 0.3
+    ppr: DataFrame, sem: DataFrame, method: str = "weighted_sum", ppr_weight: float = 0.6, semantic_weight: float = 0.4, *, min_semantic: float = 0.3, min_ppr: float = 1e-6
 ) -> DataFrame:
     """Full outer join of two rankings: ``weighted_sum``, ``max`` or ``harmonic_mean`` of their weighted scores.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 from .contain import contained
 
-TYPE_WEIGHTS = {"PERSON": 0.95, "ORG": 0.9, "ORGANIZATION": 0.9, "LOC": 0.85, "LOCATION": 0.85, "MONEY": 0.85, "DATE": 0.8, "PERCENT": 0.8, "CONCEPT": 0.75}
+TYPE_WEIGHTS = {"CONCEPT": 0.75, "DATE": 0.8, "LOC": 0.85, "LOCATION": 0.85, "MONEY": 0.85, "ORG": 0.9, "ORGANIZATION": 0.9, "PERCENT": 0.8, "PERSON": 0.95}
 OTHER_TYPE = 0.7
 #: Words that make a mention's surroundings telling; they are sought in lower case, so the one in capitals is never found.
 KEYWORDS = (

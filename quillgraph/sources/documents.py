@@ -62,9 +62,9 @@ def json_chunks(text: str) -> list[tuple[str, dict]] | None:
     for i, item in enumerate(data if isinstance(data, list) else []):
         if isinstance(item, str):
             out.append((item, {"chunk_index": i}))
-        elif isinstance(item, dict) and ("content" in item or "text" in item):
+        elif isinstance(item, dict) and {"text", "content"} & item.keys():
             more = item.get("metadata")
-            out.append((item.get("content", item.get("text", "")), {"chunk_index": i} | (more if isinstance(more, dict) else {})))
+            out.append((item["content"] if "content" in item else item["text"], {"chunk_index": i} | (more if isinstance(more, dict) else {})))
     return out or None
 
 
@@ -103,7 +103,7 @@ def load(spark: SparkSession, paths: str | list[str], extensions: tuple[str, ...
 def coerce(document: object, index: int) -> dict:
     """A chunk ``{content, metadata}`` of a text, a dict with ``content`` or ``text``, or an object with ``page_content``."""
     if isinstance(document, str):
-        return {"content": document, "metadata": {"document_index": index}}
+        return dict(metadata={"document_index": index}, content=document)
     if isinstance(document, dict):
         for key in ("content", "text"):
             if key in document:

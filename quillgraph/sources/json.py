@@ -40,10 +40,10 @@ def _same(*names: str) -> dict[str, str]:
 RULES = {
     "chunk_array": Rule(("content",), _same("chunk_id", "chunk_type", "token_count", "artifact_type", "document_position"), document_path="document_metadata", min_length=30),
     "qa_format": Rule(
-        ("question", "answer", "text"), {"type": "interaction_type", "questioner_name": "questioner", "answerer_name": "answerer", "speaker_name": "speaker"}, separator="\n\nQ: ", min_length=30
+        ("question", "answer", "text"), {f"{x}_name": x for x in ("speaker", "answerer", "questioner")} | {"type": "interaction_type"}, separator="\n\nQ: ", min_length=30
     ),
     "simple_content": Rule(CONTENT_FIELDS, _same("id", "title", "author", "timestamp", "source"), min_length=30),
-    "nested_chunks": Rule(("content",), {"id": "chunk_id", "type": "content_type"}, document_path="metadata.document", passage_path="metadata.passage", min_length=30),
+    "nested_chunks": Rule(("content",), {"type": "content_type", "id": "chunk_id"}, document_path="metadata.document", passage_path="metadata.passage", min_length=30),
 }
 
 
@@ -84,7 +84,7 @@ def compose(parts: list[str], rule: Rule, item: dict) -> str:
     """
     if rule.combine and len(parts) > 1 and {"question", "answer"} <= set(rule.content_fields):
         return f"{item.get('questioner_name', 'Unknown')} asked: {parts[0]}\n\n{item.get('answerer_name', 'Unknown')} answered: {parts[1]}"
-    if len(parts) == 1 and "text" in rule.content_fields and "speaker_name" in item:
+    if "speaker_name" in item and "text" in rule.content_fields and len(parts) == 1:
         return f"{item['speaker_name']} said: {parts[0]}"
     joined = rule.combine and len(parts) > 1
     text = rule.separator.join(parts) if joined else parts[0]
