@@ -325,3 +325,34 @@ def test_trace_ends_at_the_scores(spark):
     assert last.keys() == want.keys() and all(abs(last[k] - want[k]) < 1e-12 for k in want)
     for r in rows:
         assert abs(r.diff - 2 * 0.85**r.iteration) < 1e-12
+
+
+def test_walks_over_stored_blocks_equal_joins(spark, monkeypatch):
+    """Either side the smaller, blocks of a few edges, hubs, restarts outside of the graph and of weight 0."""
+    import random
+
+    monkeypatch.setattr(ppr, "RUN", 8)
+    rng = random.Random(5)
+    for passages, concepts in ((60, 15), (15, 60)):
+        rows = [(f"p{int(passages * rng.random() ** 2)}", f"c{int(concepts * rng.random() ** 2)}", 1.0) for _ in range(200)] + [("x1", "y1", 1.0), ("x1", "y2", 1.0)]
+        edges = spark.createDataFrame(rows, EDGE).repartition(3)
+        asked = [(q, f"c{rng.randrange(concepts)}", rng.random()) for q in range(7) for _ in range(3)] + [(7, "y1", 1.0), (7, "nowhere", 1.0), (8, "c0", 0.0), (8, "y2", 2.0), (9, "nowhere", 1.0), (10, "c1", 0.0)]
+        start = spark.createDataFrame(asked, "query_id int, concept_id string, weight double")
+        stored = ppr.store(ppr._pairs(edges))
+        assert stored.by_concept == (passages > concepts) and stored.nodes == edges.select("concept_id" if stored.by_concept else "passage_id").distinct().count()
+        for alpha, most in ((0.15, 4),):
+            got, want = ({(r.query_id, r.passage_id): r.score for r in ppr.ppr(edges, start, alpha, max_iter=most, kernel_bytes=k).collect()} for k in (1 << 20, 0))
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want), (alpha, most)
+        best = {(r.query_id, r.passage_id, r.rank) for r in R.top_k(ppr.ppr(edges, start, max_iter=9, top=3), 3).collect()}
+        assert best == {(r.query_id, r.passage_id, r.rank) for r in R.top_k(ppr.ppr(edges, start, max_iter=9), 3).collect()}
+        for alpha in (0.15, 1.0) if stored.by_concept else (0.15,):
+            got, want = ({(r.query_id, r.iteration, r.rank, r.converged, r.side, r.node): (r.score, r.diff) for r in ppr.trace(edges, start, alpha, max_iter=2, kernel_bytes=k).collect()} for k in (1 << 20, 0))
+            assert got.keys() == want.keys() and all(abs(a - b) < 1e-12 for k in want for a, b in zip(got[k], want[k])), alpha
+
+
+def test_an_even_last_step_is_not_walked_by_joins(spark, monkeypatch):
+    edges = spark.createDataFrame([("p1", "a", 1.0), ("p1", "b", 1.0), ("p2", "b", 1.0)], EDGE)
+    made = []
+    monkeypatch.setattr(ppr, "cut", lambda df: made.append(1) or df)
+    ppr.relational(ppr._pairs(edges), spark.createDataFrame([(1, "a", 1.0)], "query_id int, concept_id string, mass double"), 0.15, 4)
+    assert len(made) == 2 + 3
