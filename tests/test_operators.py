@@ -356,3 +356,15 @@ def test_an_even_last_step_is_not_walked_by_joins(spark, monkeypatch):
     monkeypatch.setattr(ppr, "cut", lambda df: made.append(1) or df)
     ppr.relational(ppr._pairs(edges), spark.createDataFrame([(1, "a", 1.0)], "query_id int, concept_id string, mass double"), 0.15, 4)
     assert len(made) == 2 + 3
+
+
+def test_terms_met_in_long_texts_by_id(spark, monkeypatch):
+    """Both ways, sent to every task and joined; ids come instead of texts, so that no text moves with a term."""
+    texts = [(0, "the harbour report \U0001f600 on networks"), (1, "networks"), (2, "x" * 30 + "harbour"), (3, ""), (4, "étude harbou")]
+    terms = ["harbour", "networks", "étude", "\U0001f600 on", "absent", "ha"]
+    inner, outer = spark.createDataFrame([(t,) for t in terms], "t string"), spark.createDataFrame([(t, i) for i, t in texts], "c string, h bigint")
+    want = {(t, i) for t in terms for i, text in texts if t in text}
+    for most in (contain.KEYS_BYTES, 0):
+        monkeypatch.setattr(contain, "KEYS_BYTES", most)
+        for prefix in (5, 12):
+            assert sorted((r.inner, r.h) for r in contain.contained(inner, outer, prefix, long=True).collect()) == sorted(want)
