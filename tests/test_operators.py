@@ -368,3 +368,16 @@ def test_terms_met_in_long_texts_by_id(spark, monkeypatch):
         monkeypatch.setattr(contain, "KEYS_BYTES", most)
         for prefix in (5, 12):
             assert sorted((r.inner, r.h) for r in contain.contained(inner, outer, prefix, long=True).collect()) == sorted(want)
+
+
+def test_a_product_takes_memory_of_its_slab_only():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x, q, boost = rng.normal(size=(1500, 4)), rng.normal(size=(4, 30_000)), np.linspace(1, 1.1, 1500)
+    tracemalloc.start()
+    found = sum(len(i) for i, _, _ in vectors.products(x, q, boost, 12.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == ((x[:700] @ q * boost[:700, None]) >= 12.0).sum() + ((x[700:] @ q * boost[700:, None]) >= 12.0).sum() > 0
+    assert peak < 100e6  # all queries at once took 1024 * 30000 * 8 bytes, twice
