@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..session import cut
+from ..session import PART_ROWS, cut, parted
 from . import vectors as V
 from .components import connected_components
 from .contain import contained
@@ -66,11 +66,15 @@ def jaccard_pairs(edges: DataFrame, least: float = 0.6) -> DataFrame:
 
     The join is quadratic in the number of concepts of a passage.
     """
-    e = edges.select("passage_id", "concept_id").distinct()
+    with parted(edges.sparkSession, edges.count()):
+        e = cut(edges.select("passage_id", "concept_id").distinct())
+    degree = F.col("n").cast("double")
+    pairs = e.groupBy("passage_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(degree * (degree - 1) / 2), F.lit(0.0))).first()[0]
     size = e.groupBy("concept_id").agg(F.count("*").alias("n"))
     a = e.select("passage_id", F.col("concept_id").alias("a"))
     b = e.select("passage_id", F.col("concept_id").alias("b"))
-    both = a.join(b, "passage_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    with parted(edges.sparkSession, min(int(pairs), 10_000 * PART_ROWS)):
+        both = cut(a.join(b, "passage_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both")))
     sized = both.join(size.withColumnsRenamed({"concept_id": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"concept_id": "b", "n": "nb"}), "b")
     return sized.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= least)
 

@@ -381,3 +381,19 @@ def test_a_product_takes_memory_of_its_slab_only():
     tracemalloc.stop()
     assert found == ((x[:700] @ q * boost[:700, None]) >= 12.0).sum() + ((x[700:] @ q * boost[700:, None]) >= 12.0).sum() > 0
     assert peak < 100e6  # all queries at once took 1024 * 30000 * 8 bytes, twice
+
+
+def test_tasks_of_components_and_pairs_do_not_grow_with_the_rows(spark, monkeypatch):
+    from quillgraph import session
+    from quillgraph.operators import components
+
+    seen, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(session, "PART_ROWS", 10)
+    for module in (components, dedup):
+        monkeypatch.setattr(module, "cut", lambda df: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or session.cut(df))
+    edges = spark.createDataFrame([(f"p{i // 3}", f"c{i % 3}") for i in range(90)], "passage_id string, concept_id string")
+    assert components.connected_components(edges, "passage_id", "concept_id").select("component").distinct().count() == 1
+    assert min(seen) == 9 and max(seen) == 18
+    seen.clear()
+    assert [(r.a, r.b, r.jaccard) for r in dedup.jaccard_pairs(edges, 0.5).orderBy("a", "b").collect()] == [("c0", "c1", 1.0), ("c0", "c2", 1.0), ("c1", "c2", 1.0)]
+    assert seen == [9, 9] and spark.conf.get("spark.sql.shuffle.partitions") == was
