@@ -334,6 +334,7 @@ def test_walks_over_stored_blocks_equal_joins(spark, monkeypatch):
     monkeypatch.setattr(ppr, "RUN", 8)
     rng = random.Random(5)
     for passages, concepts in ((60, 15), (15, 60)):
+        monkeypatch.setattr(ppr, "DIRECT", 0 if passages > concepts else 1 << 17)
         rows = [(f"p{int(passages * rng.random() ** 2)}", f"c{int(concepts * rng.random() ** 2)}", 1.0) for _ in range(200)] + [("x1", "y1", 1.0), ("x1", "y2", 1.0)]
         edges = spark.createDataFrame(rows, EDGE).repartition(3)
         asked = [(q, f"c{rng.randrange(concepts)}", rng.random()) for q in range(7) for _ in range(3)] + [(7, "y1", 1.0), (7, "nowhere", 1.0), (8, "c0", 0.0), (8, "y2", 2.0), (9, "nowhere", 1.0), (10, "c1", 0.0)]
